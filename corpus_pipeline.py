@@ -9,16 +9,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkweft.llm import ngram_join
+from sparkweft.llm import langid, ngram_join
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def identified_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return langid.keep_identified(docs, langid.train(docs))
+
+
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return ngram_join.deduplicate(docs)
 
 
 STAGES: list[tuple[str, Stage]] = [
+    ("language_id", identified_language),
     ("ngram_jaccard_join", one_of_each_group),
 ]
 

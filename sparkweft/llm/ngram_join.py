@@ -387,5 +387,5 @@ def deduplicate(docs: DataFrame, **options) -> DataFrame:
     without words, stay.  Columns and repeated rows of what stays are unchanged.
     """
     found = groups(jaccard_join(docs, **options))
-    gone = stored(found.where("doc_id <> group_id").select("doc_id"), "gone").withColumnRenamed("doc_id", "_gone")
-    return docs.join(small_enough(gone), docs["doc_id"] == F.col("_gone"), "left_anti")
+    gone = small_enough(stored(found.where("doc_id <> group_id").select(F.col("doc_id").alias("gone")), "gone"))
+    return docs.join(gone, docs["doc_id"] == gone["gone"], "left_anti")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ngram_join
+from . import langid, ngram_join
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,11 +15,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return langid.identify(docs, langid.train(docs))
+
+
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_join(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Query] = {
+    "op1_language_id": op1_language_id,
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
 }
 
@@ -36,11 +42,11 @@ s AS (SELECT doc_id, list_sort({SHINGLES}) AS sh FROM w WHERE len(ws) > 0),
 c AS (SELECT min(doc_id) AS doc_id, list(DISTINCT doc_id) AS ids, sh FROM s GROUP BY sh),
 e AS (SELECT doc_id, len(sh) AS n, unnest(sh) AS g FROM c),
 p AS (
-  SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, count(*) AS both, any_value(a.n) AS na, any_value(b.n) AS nb
+  SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, count(*) AS common, any_value(a.n) AS na, any_value(b.n) AS nb
   FROM e a JOIN e b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2
 )
-SELECT doc_a, doc_b, both::DOUBLE / (na + nb - both)::DOUBLE AS jaccard FROM p
-WHERE both::DOUBLE / (na + nb - both)::DOUBLE >= {ngram_join.THRESHOLD}
+SELECT doc_a, doc_b, common::DOUBLE / (na + nb - common)::DOUBLE AS jaccard FROM p
+WHERE common::DOUBLE / (na + nb - common)::DOUBLE >= {ngram_join.THRESHOLD}
 UNION ALL
 SELECT doc_id, m, 1.0::DOUBLE FROM (SELECT doc_id, unnest(ids) AS m FROM c) WHERE m <> doc_id
 """,
