@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, ngram_join
+from . import decontaminate, langid, ngram_join
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,12 +20,17 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, langid.train(docs))
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_join(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Query] = {
     "op1_language_id": op1_language_id,
+    "op2_decontamination": op2_decontamination,
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
 }
 
@@ -36,6 +41,16 @@ SHINGLES = (
 )
 
 SQL: dict[str, str] = {
+    "op2_decontamination": f"""
+WITH d AS (
+  SELECT doc_id, unnest({SHINGLES}) AS g FROM (SELECT doc_id, {WORDS} AS ws FROM documents WHERE doc_id IS NOT NULL) WHERE len(ws) > 0
+), i AS (
+  SELECT item_id, len(sh) AS n, unnest(sh) AS g FROM (
+    SELECT item_id, {SHINGLES} AS sh FROM (SELECT item_id, {WORDS} AS ws FROM benchmark WHERE item_id IS NOT NULL) WHERE len(ws) > 0)
+)
+SELECT doc_id, item_id, count(*)::DOUBLE / any_value(n)::DOUBLE AS containment FROM d JOIN i USING (g)
+GROUP BY doc_id, item_id HAVING count(*)::DOUBLE / any_value(n)::DOUBLE >= {decontaminate.CONTAINMENT}
+""",
     "op3_ngram_jaccard_join": f"""
 WITH w AS (SELECT doc_id, {WORDS} AS ws FROM documents WHERE doc_id IS NOT NULL),
 s AS (SELECT doc_id, list_sort({SHINGLES}) AS sh FROM w WHERE len(ws) > 0),
