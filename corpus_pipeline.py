@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkweft.llm import decontaminate, langid, ngram_join
+from sparkweft.llm import decontaminate, langid, mixing, ngram_join
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -26,10 +26,15 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def mixed_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mixed(docs)
+
+
 STAGES: list[tuple[str, Stage]] = [
     ("language_id", identified_language),
     ("ngram_jaccard_join", one_of_each_group),
     ("benchmark_decontamination", without_benchmark),
+    ("mixing", mixed_to_weights),
 ]
 
 #: The first and the last stage have no SQL: a trained model and a tokenizer.

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, langid, ngram_join
+from . import decontaminate, langid, mixing, ngram_join
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -28,10 +28,15 @@ def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_join(table(spark, sf_dir, "documents"))
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_language_id": op1_language_id,
     "op2_decontamination": op2_decontamination,
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
+    "op7_mixing": op7_mixing,
 }
 
 WORDS = r"list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '')"
@@ -40,7 +45,64 @@ SHINGLES = (
     " lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]) ELSE [array_to_string(ws, ' ')] END)"
 )
 
+def _share_out_sql(nodes: str, parent: str, name: str) -> str:
+    """Water-filling of siblings in SQL; ``nodes`` has capacity, weight and parent_budget."""
+    by = f"PARTITION BY {parent}" if parent else ""
+    order = f"({by} ORDER BY capacity::DOUBLE / weight::DOUBLE, {name}"
+    return f"""
+  SELECT * EXCLUDE (rest, open_weight, saturated), CASE WHEN saturated THEN capacity ELSE (rest * weight) // open_weight END AS budget FROM (
+    SELECT *, parent_budget - sum(CASE WHEN saturated THEN capacity ELSE 0 END) OVER ({by}) AS rest,
+           sum(CASE WHEN saturated THEN 0 ELSE weight END) OVER ({by}) AS open_weight FROM (
+      SELECT *, capacity * sum(weight) OVER {order} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)
+             <= weight * (parent_budget - coalesce(sum(capacity) OVER {order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS saturated
+      FROM {nodes} WHERE weight > 0))"""
+
+
+def _weight_sql(level: str) -> str:
+    cases = " ".join(f"WHEN {level} = '{k}' THEN {w}" for k, w in mixing.WEIGHTS[level].items())
+    return f"(CASE {cases} ELSE 1 END)" if cases else "1"
+
+
+def _key_sql(epoch: str) -> str:
+    return f"('0x' || substr(md5('{mixing.SEED}|' || {epoch}::VARCHAR || '|' || coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT"
+
+
+_NUMBER = "regexp_extract(source, '^src([0-9]{1,9})$', 1)"
+_MIXING_SQL = f"""
+WITH counted AS (
+  SELECT doc_id, CASE WHEN coalesce({_NUMBER}, '') = '' THEN 'unknown'
+                      ELSE {list(mixing.DOMAINS)}[({_NUMBER}::INT % {len(mixing.DOMAINS)}) + 1] END AS domain,
+         coalesce(lang, 'unknown') AS lang, coalesce(source, 'unknown') AS source,
+         coalesce(len(regexp_extract_all(text, '[^ \\t\\n\\r\\f]+')), 0)::BIGINT AS n_tokens
+  FROM documents
+),
+leaves AS (SELECT domain, lang, source, sum(n_tokens)::HUGEINT AS tokens, sum(n_tokens)::HUGEINT * {mixing.MAX_EPOCHS} AS capacity FROM counted GROUP BY ALL),
+n1 AS (SELECT domain, sum(capacity) AS capacity, {_weight_sql("domain")} AS weight,
+              (SELECT sum(tokens) * {mixing.BUDGET_PERCENT} // 100 FROM leaves) AS parent_budget FROM leaves GROUP BY domain),
+b1 AS ({_share_out_sql("n1", "", "domain")}),
+n2 AS (SELECT domain, lang, sum(l.capacity) AS capacity, {_weight_sql("lang")} AS weight, any_value(budget) AS parent_budget
+       FROM leaves l JOIN b1 USING (domain) GROUP BY domain, lang),
+b2 AS ({_share_out_sql("n2", "domain", "lang")}),
+n3 AS (SELECT domain, lang, source, l.capacity, tokens, {_weight_sql("source")} AS weight, budget AS parent_budget
+       FROM leaves l JOIN b2 USING (domain, lang)),
+b3 AS ({_share_out_sql("n3", "domain, lang", "source")}),
+planned AS (SELECT domain, lang, source, CASE WHEN tokens > 0 THEN budget // tokens ELSE 0 END AS whole,
+                   CASE WHEN tokens > 0 THEN budget % tokens ELSE 0 END AS rest FROM b3),
+epochs AS (
+  SELECT doc_id, domain, lang, source, n_tokens, whole, rest, unnest(range(0, whole::BIGINT + 1)) AS epoch FROM counted JOIN planned USING (domain, lang, source)
+),
+keyed AS (SELECT *, {_key_sql("epoch")} AS order_key FROM epochs),
+placed AS (
+  SELECT *, sum(n_tokens) OVER (PARTITION BY domain, lang, source, epoch ORDER BY order_key RANGE UNBOUNDED PRECEDING)
+            - sum(n_tokens) OVER (PARTITION BY domain, lang, source, epoch, order_key) AS before FROM keyed
+)
+SELECT doc_id, domain, lang, source, epoch, order_key, n_tokens,
+       CASE WHEN epoch < whole THEN n_tokens ELSE least(n_tokens, rest - before) END::BIGINT AS taken
+FROM placed WHERE epoch < whole OR before < rest
+"""
+
 SQL: dict[str, str] = {
+    "op7_mixing": _MIXING_SQL,
     "op2_decontamination": f"""
 WITH d AS (
   SELECT doc_id, unnest({SHINGLES}) AS g FROM (SELECT doc_id, {WORDS} AS ws FROM documents WHERE doc_id IS NOT NULL) WHERE len(ws) > 0
