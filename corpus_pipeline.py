@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkweft.llm import decontaminate, langid, mixing, ngram_join
+from sparkweft.llm import decontaminate, langid, mixing, ngram_join, wavelet
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -30,11 +30,16 @@ def mixed_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return mixing.mixed(docs)
 
 
+def token_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return wavelet.wavelet_shards(docs)
+
+
 STAGES: list[tuple[str, Stage]] = [
     ("language_id", identified_language),
     ("ngram_jaccard_join", one_of_each_group),
     ("benchmark_decontamination", without_benchmark),
     ("mixing", mixed_to_weights),
+    ("token_shards", token_shards),
 ]
 
 #: The first and the last stage have no SQL: a trained model and a tokenizer.
