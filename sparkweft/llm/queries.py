@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontaminate, langid, mixing, ngram_join, wavelet
+from . import decontaminate, langid, mixing, ngram_join, substrings, wavelet
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -28,6 +29,12 @@ def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_join(table(spark, sf_dir, "documents"))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substrings.remove_repeats(table(spark, sf_dir, "documents"))
+    spans = F.transform("removed", lambda x: F.concat_ws(":", x["start"].cast("string"), x["end"].cast("string")))
+    return found.select("doc_id", "text", F.array_join(spans, ";").alias("removed"))
+
+
 def op6_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.wavelet_shards(table(spark, sf_dir, "documents"))
 
@@ -40,6 +47,7 @@ QUERIES: dict[str, Query] = {
     "op1_language_id": op1_language_id,
     "op2_decontamination": op2_decontamination,
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
+    "op4_substring_dedup": op4_substring_dedup,
     "op6_wavelet_shards": op6_wavelet_shards,
     "op7_mixing": op7_mixing,
 }
@@ -107,6 +115,23 @@ FROM placed WHERE epoch < whole OR before < rest
 """
 
 SQL: dict[str, str] = {
+    "op4_substring_dedup": f"""
+WITH p AS (
+  SELECT doc_id, unnest(ps) AS unit, generate_subscripts(ps, 1) AS k FROM (
+    SELECT doc_id, string_split(regexp_replace(text, '([.!?] |\n)', '\\1' || chr(1), 'g'), chr(1)) AS ps FROM documents WHERE text IS NOT NULL)
+),
+w AS (SELECT *, {WORDS.replace("text", "unit")} AS ws, sum(length(unit)) OVER (PARTITION BY doc_id ORDER BY k)::BIGINT AS stop FROM p),
+r AS (
+  SELECT *, len(ws) >= {substrings.MIN_WORDS}
+         AND row_number() OVER (PARTITION BY array_to_string(ws, ' ') ORDER BY doc_id, k) > 1 AS gone FROM w
+),
+c AS (
+  SELECT doc_id, string_agg(CASE WHEN gone THEN '' ELSE unit END, '' ORDER BY k) AS text,
+         coalesce(string_agg((stop - length(unit))::VARCHAR || ':' || stop::VARCHAR, ';' ORDER BY k) FILTER (gone), '') AS removed
+  FROM r GROUP BY doc_id
+)
+SELECT doc_id, c.text, coalesce(c.removed, '') AS removed FROM documents LEFT JOIN c USING (doc_id)
+""",
     "op7_mixing": _MIXING_SQL,
     "op2_decontamination": f"""
 WITH d AS (
