@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, mixing, ngram_join, substrings, wavelet
+from . import decontaminate, langid, mixing, ngram_join, substrings, templates, wavelet
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -29,12 +29,15 @@ def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_join(table(spark, sf_dir, "documents"))
 
 
-def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = substrings.remove_repeats(table(spark, sf_dir, "documents"))
+def _with_offsets(found: DataFrame) -> DataFrame:
     spans = F.transform("removed", lambda x: F.concat_ws(":", x["start"].cast("string"), x["end"].cast("string")))
     return found.select("doc_id", "text", F.array_join(spans, ";").alias("removed"))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _with_offsets(substrings.remove_repeats(table(spark, sf_dir, "documents")))
+
+
 def op6_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.wavelet_shards(table(spark, sf_dir, "documents"))
 
@@ -43,6 +46,10 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op9_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _with_offsets(templates.drop_recurring_lines(table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Query] = {
     "op1_language_id": op1_language_id,
     "op2_decontamination": op2_decontamination,
@@ -50,6 +57,7 @@ QUERIES: dict[str, Query] = {
     "op4_substring_dedup": op4_substring_dedup,
     "op6_wavelet_shards": op6_wavelet_shards,
     "op7_mixing": op7_mixing,
+    "op9_line_templates": op9_line_templates,
 }
 
 WORDS = r"list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '')"
