@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, mixing, ngram_join, substrings, templates, wavelet
+from . import chat, decontaminate, hamming, langid, mixing, ngram_join, substrings, templates, warc, wavelet
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -38,6 +38,20 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _with_offsets(substrings.remove_repeats(table(spark, sf_dir, "documents")))
 
 
+def op5_warc_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each capture's nested records as JSON, payloads as text."""
+    found = warc.assemble(warc.records(warc.pages_as_warc(table(spark, sf_dir, "pages"))))
+    readable = lambda r, payload: r.withField(payload, r[payload].cast("string"))
+    return found.select(
+        "capture_id",
+        "target_uri",
+        "date",
+        F.to_json(readable(F.col("response"), "payload")).alias("response"),
+        F.to_json(F.transform("requests", lambda r: readable(r, "payload"))).alias("requests"),
+        F.to_json(F.transform("metadata", lambda r: readable(r, "content"))).alias("metadata"),
+    )
+
+
 def op6_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.wavelet_shards(table(spark, sf_dir, "documents"))
 
@@ -46,18 +60,29 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op8_hamming_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hamming.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op9_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _with_offsets(templates.drop_recurring_lines(table(spark, sf_dir, "documents")))
 
 
+def op10_chat_prefix_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.prefix_trees(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_language_id": op1_language_id,
     "op2_decontamination": op2_decontamination,
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
     "op4_substring_dedup": op4_substring_dedup,
+    "op5_warc_captures": op5_warc_captures,
     "op6_wavelet_shards": op6_wavelet_shards,
     "op7_mixing": op7_mixing,
+    "op8_hamming_topk": op8_hamming_topk,
     "op9_line_templates": op9_line_templates,
+    "op10_chat_prefix_trees": op10_chat_prefix_trees,
 }
 
 WORDS = r"list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '')"
@@ -122,7 +147,39 @@ SELECT doc_id, domain, lang, source, epoch, order_key, n_tokens,
 FROM placed WHERE epoch < whole OR before < rest
 """
 
+def _uuid_sql(kind: str) -> str:
+    h = f"md5('{kind}' || coalesce(page_id::VARCHAR, ''))"
+    cuts = ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))
+    return "'urn:uuid:' || " + " || '-' || ".join(f"substr({h}, {a}, {n})" for a, n in cuts)
+
+
 SQL: dict[str, str] = {
+    "op5_warc_captures": f"""
+WITH p AS (
+  SELECT {_uuid_sql("response")} AS rid, {_uuid_sql("request")} AS qid, {_uuid_sql("metadata")} AS mid, page_id, url, html,
+         regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS host,
+         regexp_replace(regexp_replace(url, '^[a-z]+://[^/?#]*', ''), '#.*$', '') AS path FROM pages
+)
+SELECT rid AS capture_id, url AS target_uri, '2024-01-01T00:00:00Z' AS date,
+  to_json({{'date': '2024-01-01T00:00:00Z', 'record_id': rid, 'target_uri': url, 'status': 200,
+           'headers': [{{'name': 'content-type', 'value': 'text/html; charset=utf-8'}}], 'payload': html}})::VARCHAR AS response,
+  to_json([{{'date': '2024-01-01T00:00:00Z', 'record_id': qid, 'target_uri': url,
+            'request_line': 'GET ' || CASE WHEN path = '' THEN '/' ELSE path END || ' HTTP/1.1',
+            'headers': [{{'name': 'host', 'value': host}}], 'payload': ''}}])::VARCHAR AS requests,
+  to_json([{{'date': '2024-01-01T00:00:00Z', 'record_id': mid, 'target_uri': url, 'type': 'metadata',
+            'content': 'pageId: ' || page_id || chr(13) || chr(10)}}])::VARCHAR AS metadata
+FROM p
+""",
+    "op8_hamming_topk": f"""
+WITH c AS (
+  SELECT vec_id, string_agg(CASE WHEN x > 0 THEN '1' ELSE '0' END, '' ORDER BY i)::BIT AS code FROM (
+    SELECT vec_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings) GROUP BY vec_id
+),
+p AS (
+  SELECT a.vec_id, b.vec_id AS neighbor_id, bit_count(xor(a.code, b.code))::INT AS distance FROM c a JOIN c b ON a.vec_id <> b.vec_id
+)
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY distance, neighbor_id)::INT AS rank FROM p) WHERE rank <= {hamming.K}
+""",
     "op4_substring_dedup": f"""
 WITH p AS (
   SELECT doc_id, unnest(ps) AS unit, generate_subscripts(ps, 1) AS k FROM (
