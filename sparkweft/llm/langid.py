@@ -32,6 +32,9 @@ HELD_OUT = 0.25
 #: Share of held-out documents beyond the limit of rejection, and the distance added to it.
 FALSE_REJECTIONS = 0.001
 MARGIN = 6.0
+#: Bits a symbol above the mean that a text must have besides, to be rejected: a text in two known
+#: languages is odd to either model but is not unknown.
+EXCESS_BITS = 1.2
 #: Size of the alphabet for the uniform distribution below the unigrams.
 ALPHABET = 4096
 UNKNOWN = "und"
@@ -153,6 +156,7 @@ class Identifier:
     by_symbol: np.ndarray
     spread: np.ndarray
     limit: np.ndarray
+    excess_bits: float = EXCESS_BITS
 
     @classmethod
     def merge(cls, models: dict[str, LanguageModel]) -> Identifier:
@@ -253,6 +257,11 @@ class Identifier:
         row = bits[np.arange(len(best)), best]
         return (row - self.mean[best]) / np.sqrt(self.by_symbol[best] / np.maximum(size, 1) + self.spread[best])
 
+    def accepted(self, bits: np.ndarray, size: np.ndarray, best: np.ndarray, distance: np.ndarray) -> np.ndarray:
+        """Whether each text has letters and is near enough to its language."""
+        row = bits[np.arange(len(best)), best]
+        return (size > 0) & ((distance <= self.limit[best]) | (row <= self.mean[best] + self.excess_bits))
+
     def calibrate(self, texts: Sequence[str | None], labels: Sequence[str], rate: float, margin: float) -> None:
         bits, size = self.scores(texts)
         for i, x in enumerate(self.languages):
@@ -319,8 +328,8 @@ def identify(docs: DataFrame, model: Identifier) -> DataFrame:
     ``lang_found`` is the language of lowest cross-entropy a symbol (``bits``; of
     equals the first by name), or ``und`` where the text is further above the mean
     of that language than held-out text ever was (``distance`` in standard
-    deviations at that length), or has no letters (null and empty texts; ``bits``
-    and ``distance`` are then null).  Rows are neither dropped nor merged, null ids
+    deviations at that length) and by more than ``EXCESS_BITS``, or has no letters
+    (null and empty texts; ``bits`` and ``distance`` are then null).  Rows are neither dropped nor merged, null ids
     stay, other columns are ignored.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -333,7 +342,7 @@ def identify(docs: DataFrame, model: Identifier) -> DataFrame:
                 best = bits.argmin(axis=1)
                 z = m.distance(bits, size, best)
                 least = bits[np.arange(len(best)), best]
-                good = (size > 0) & (z <= m.limit[best])
+                good = m.accepted(bits, size, best, z)
             else:
                 best, z, least, good = (np.zeros(len(size), int), np.zeros(len(size)), np.zeros(len(size)), np.zeros(len(size), bool))
             none = (size == 0) | (not m.languages)
@@ -364,7 +373,7 @@ def keep_identified(docs: DataFrame, model: Identifier) -> DataFrame:
             if not m.languages or not len(size):
                 continue
             best = bits.argmin(axis=1)
-            good = (size > 0) & (m.distance(bits, size, best) <= m.limit[best])
+            good = m.accepted(bits, size, best, m.distance(bits, size, best))
             found = pa.array([m.languages[b] for b in best.tolist()], batch.schema.field("lang").type)
             columns = [found if x == "lang" else batch.column(k) for k, x in enumerate(names)]
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema).filter(pa.array(good))
