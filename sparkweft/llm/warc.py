@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .scratch import stored
+
 RECORD_SCHEMA = (
     "record_id string, type string, target_uri string, date string, concurrent_to array<string>,"
     " headers map<string, string>, block binary, truncated boolean"
@@ -154,10 +156,13 @@ def assemble(found: DataFrame) -> DataFrame:
     types) are ordered by date and id.  Only ids are shuffled to follow links; blocks
     are shuffled once.
     """
-    kept = found.where("record_id is not null")
+    columns = ["record_id", "type", "target_uri", "date", "headers", "block"]
+    kept = found.select(*columns, "concurrent_to").where("record_id is not null")
+    # all but the large part, so that records are parsed twice in all: for this table, and for the responses' blocks
+    light = stored(kept.withColumn("block", F.when(F.coalesce(F.col("type"), F.lit("")) != "response", F.col("block"))), "records")
     rank = F.when(F.col("type") == "response", 0).when(F.col("type") == "request", 1).otherwise(2)
-    ids = kept.select("record_id", F.struct(rank.alias("rank"), F.col("record_id").alias("id")).alias("anchor"))
-    one_way = kept.select("record_id", F.explode("concurrent_to").alias("other")).where("other is not null")
+    ids = light.select("record_id", F.struct(rank.alias("rank"), F.col("record_id").alias("id")).alias("anchor"))
+    one_way = light.select("record_id", F.explode("concurrent_to").alias("other")).where("other is not null")
     links = one_way.unionByName(one_way.select(F.col("other").alias("record_id"), F.col("record_id").alias("other"))).distinct()
     own = ids.groupBy("record_id").agg(F.min("anchor").alias("anchor"))
     known = own
@@ -165,11 +170,10 @@ def assemble(found: DataFrame) -> DataFrame:
         near = links.join(known.select(F.col("record_id").alias("other"), "anchor"), "other").select("record_id", "anchor")
         both = known.select("record_id", "anchor").unionByName(near)
         # a record with links to others only is absent itself and drops out at the end
-        known = both.groupBy("record_id").agg(F.min("anchor").alias("anchor"))
+        known = stored(both.groupBy("record_id").agg(F.min("anchor").alias("anchor")), "anchors")
     capture = known.select("record_id", F.col("anchor.id").alias("capture_id"))
-    columns = ["record_id", "type", "target_uri", "date", "headers", "block"]
     responses = kept.where("type = 'response'").select(F.col("record_id").alias("capture_id"), *columns)
-    others = kept.where("type is null or type <> 'response'").select(*columns).join(capture, "record_id").select("capture_id", *columns)
+    others = light.where("type is null or type <> 'response'").select(*columns).join(capture, "record_id").select("capture_id", *columns)
     http = _http(F.col("block"))
     whole = responses.unionByName(others).withColumn("http", http)
     status = F.regexp_extract("http.start_line", r"^HTTP/[0-9.]+ ([0-9]{3})", 1)
