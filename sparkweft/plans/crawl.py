@@ -233,9 +233,10 @@ class Crawl:
                 forced(fresh(links, seen), again).write.mode("overwrite").parquet(at("frontier", k + 1))
         log.warning("the crawl was ended after %d levels", self.max_levels)
 
-    def _items(self, level: DataFrame, k: Column) -> DataFrame:
-        seq = F.struct(k.alias("level"), F.col("url"), F.col("pos"))
-        return level.select("spider", "url", "depth", F.posexplode("items").alias("pos", "item")).withColumn("seq", seq)
+    def _items(self, pages: DataFrame) -> DataFrame:
+        """The items of pages with their ``level``, in the order ``seq``."""
+        each = pages.select("spider", "url", "depth", "level", F.posexplode("items").alias("pos", "item"))
+        return each.withColumn("seq", F.struct("level", "url", "pos")).drop("level")
 
     def run_all(self, spiders: Sequence[Spider]) -> list[CrawlStats]:
         """Crawls by all spiders, each with a frontier of its own; pipelines and stores see the items of all.
@@ -251,7 +252,7 @@ class Crawl:
         done = list(self.levels(spiders))
         schema = self.spark.createDataFrame([], LEVEL)
         pages = reduce(DataFrame.unionByName, [d.withColumn("level", F.lit(k)) for k, d in enumerate(done)], schema.withColumn("level", F.lit(0)))
-        items = run_pipeline(self._items(pages, F.col("level")), self.steps)
+        items = run_pipeline(self._items(pages), self.steps)
         items = written(items, staging_dir(self.spark, "items"))
         for store in self.stores:
             store.write(items)
@@ -275,7 +276,7 @@ class Crawl:
         """The items, level by level; a consumer that stops early stops the crawl.  Stores are not used."""
         spider.open()
         for k, level in enumerate(self.levels([spider])):
-            for r in run_pipeline(self._items(level, F.lit(k)), self.steps).select("item").toLocalIterator(prefetchPartitions=True):
+            for r in run_pipeline(self._items(level.withColumn("level", F.lit(k))), self.steps).select("item").toLocalIterator(prefetchPartitions=True):
                 yield r[0]
 
 
