@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import stored
+from .scratch import bound_batches, stored
 from .tokens import VOCABULARY, encoding, vocabulary_bytes
 
 
@@ -70,6 +70,7 @@ def prefix_trees(turns: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     out.  Equal conversations share all nodes.  A tree is all conversations with the
     same first turn; children come in the order of their ids.
     """
+    bound_batches(turns.sparkSession)
     shared = turns.sparkSession.sparkContext.broadcast(vocabulary_bytes(vocabulary))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -30,6 +30,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import bound_batches
 from .text import chunks, minhash_multipliers, shingle_hashes, word_hashes
 
 N = 3
@@ -145,6 +146,7 @@ class ItemIndex:
 
 def indexes(items: DataFrame, n: int, functions: int, items_a_pass: int) -> list[Broadcast]:
     """Broadcast indexes of ``items_a_pass`` items or so each."""
+    bound_batches(items.sparkSession)
     rows = items.select(F.col("item_id").cast("bigint").alias("item_id"), "text").where("item_id is not null and text is not null")
     passes = max(1, -(-rows.count() // items_a_pass))
     sc = items.sparkSession.sparkContext

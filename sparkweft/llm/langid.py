@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import bound_batches
 from .text import chunks
 
 ORDER = 4
@@ -332,6 +333,7 @@ def identify(docs: DataFrame, model: Identifier) -> DataFrame:
     (null and empty texts; ``bits`` and ``distance`` are then null).  Rows are neither dropped nor merged, null ids
     stay, other columns are ignored.
     """
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -363,6 +365,7 @@ def identify(docs: DataFrame, model: Identifier) -> DataFrame:
 
 def keep_identified(docs: DataFrame, model: Identifier) -> DataFrame:
     """The rows of ``docs`` whose language is identified, with it in ``lang``; other columns as they are."""
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import small_enough, stored
+from .scratch import bound_batches, small_enough, stored
 from .text import chunks, mix64, minhash, shingle_hashes, word_hashes
 
 N = 3
@@ -256,6 +256,7 @@ def classes_and_candidates(
     tolerance: float = TOLERANCE,
 ) -> tuple[DataFrame, DataFrame]:
     """The copies (doc_a, doc_b) of equal sets, and the candidate pairs that survive pruning; both stored."""
+    bound_batches(docs.sparkSession)
     signed = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("doc_id is not null").mapInArrow(
         _signer(n, bands, rows, compared), "doc_id bigint, digest binary, bands array<bigint>, payload binary"
     )

@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 
 #: Rows up to which a narrow table (an id or a few numbers a row) may be broadcast.
 BROADCAST_ROWS = 2_000_000
+#: Bytes of an Arrow batch that goes to Python.
+BATCH_BYTES = 4 << 20
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -48,3 +51,13 @@ def small_enough(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     the limit the join that uses the result shuffles both sides as usual.
     """
     return F.broadcast(df) if df.count() <= rows else df
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Bounds the session's Arrow batches by bytes, unless the session sets a bound of its own.
+
+    By rows alone, a batch of ten thousand texts has no limit; executor and worker
+    each hold several copies of it.
+    """
+    if spark.conf.get(_BATCH_SETTING, None) is None:
+        spark.conf.set(_BATCH_SETTING, str(BATCH_BYTES))

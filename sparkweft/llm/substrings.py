@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import BROADCAST_ROWS, stored
+from .scratch import BROADCAST_ROWS, bound_batches, stored
 from .text import chunks, codepoints, mix64
 
 #: Units of fewer words are left alone: short ones recur by chance.
@@ -146,6 +146,7 @@ def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     untouched (they have no rank), repeated rows alike, as one occurrence; rows of one
     id and different texts are ranked by a hash of the text.
     """
+    bound_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("tie"), "text")
     found = stored(
         rows.where("doc_id is not null and text is not null").mapInArrow(

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import BROADCAST_ROWS, stored
+from .scratch import BROADCAST_ROWS, bound_batches, stored
 
 LEADING = 2
 SIMILARITY = 0.7
@@ -167,6 +167,7 @@ def line_templates(docs: DataFrame, leading: int = LEADING, similarity: float =
     rows of one id and different texts apart.
     """
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("tie"), "text")
+    bound_batches(docs.sparkSession)
     rows = rows.where("doc_id is not null and text is not null")
     occurrences = rows.mapInArrow(_occurrences, "doc_id bigint, tie bigint, line int, d1 bigint, d2 bigint")
     assigned = (

@@ -25,6 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import bound_batches
 from .tokens import VOCABULARY, encoding, vocabulary_bytes
 
 MAGIC = b"WVMX0001"
@@ -182,6 +183,7 @@ def wavelet_shards(docs: DataFrame, vocabulary: str = VOCABULARY, shard_tokens:
     repeatedly, null ids as null.  A shard is closed with the document that brings
     it to ``shard_tokens``; an empty table has no shards.
     """
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary_bytes(vocabulary))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
