@@ -206,7 +206,8 @@ class ExtractPlan:
                 out.append({k: r.run(tree, u) for k, r in requests.items()})
             return pa.array(out, arrow)
 
-        return F.arrow_udf(run, schema)(html, F.lit(None).cast("string") if url is None else url)
+        # not deterministic, or a filter inferred from an explode would parse each page a second time
+        return F.arrow_udf(run, schema).asNondeterministic()(html, F.lit(None).cast("string") if url is None else url)
 
     def apply(self, pages: DataFrame, keep: Sequence[str] = (), html: str = "html", url: str = "url") -> DataFrame:
         """The columns ``keep`` of ``pages`` and one for each request; the body itself is left behind."""
