@@ -271,6 +271,10 @@ def classes_and_candidates(
         .select(F.col("doc_id").alias("doc_a"), F.explode("ids").alias("doc_b"))
         .where("doc_a <> doc_b")
     )
+    return copies, _candidates(classes, bands, compared, threshold, tolerance)
+
+
+def _candidates(classes: DataFrame, bands: int, compared: int, threshold: float, tolerance: float) -> DataFrame:
     buckets = (
         classes.select("doc_id", "payload", F.posexplode("bands").alias("band", "key"))
         .select("key", "doc_id", "band", "payload")
@@ -278,7 +282,7 @@ def classes_and_candidates(
         .sortWithinPartitions("key", "doc_id")
     )
     pairs = buckets.mapInArrow(_pairer(bands, compared, threshold, tolerance), "doc_a bigint, doc_b bigint")
-    return copies, stored(pairs, "candidates")
+    return stored(pairs, "candidates")
 
 
 def jaccard_join(
@@ -305,10 +309,11 @@ def jaccard_join(
     is 1 - (1 - s**rows)**bands) and every pair that is returned was verified exactly.
     """
     copies, pairs = classes_and_candidates(docs, n, threshold, bands, rows, compared, tolerance)
-    return _verified(docs, copies, pairs, n, threshold, tile_docs)
+    return _near(docs, pairs, n, threshold, tile_docs).unionByName(copies.withColumn("jaccard", F.lit(1.0)))
 
 
-def _verified(docs: DataFrame, copies: DataFrame, pairs: DataFrame, n: int, threshold: float, tile_docs: int) -> DataFrame:
+def _near(docs: DataFrame, pairs: DataFrame, n: int, threshold: float, tile_docs: int) -> DataFrame:
+    """Those of the candidate ``pairs`` that reach the threshold, with their similarity."""
     ends = pairs.unionByName(pairs.select(F.col("doc_b").alias("doc_a"), F.col("doc_a").alias("doc_b")))
     label = ends.groupBy("doc_a").agg(F.least(F.min("doc_b"), F.first("doc_a")).alias("label"))
     labelled = pairs.join(label, "doc_a")
@@ -328,12 +333,66 @@ def _verified(docs: DataFrame, copies: DataFrame, pairs: DataFrame, n: int, thre
         "tile", F.col("doc_id").alias("doc_a"), F.lit(None).cast("bigint").alias("doc_b"), "text"
     )
     both = texts.unionByName(tiled.withColumn("text", F.lit(None).cast("string")))
-    near = (
+    return (
         both.repartition("tile")
         .sortWithinPartitions("tile", F.col("doc_b").isNotNull())
         .mapInArrow(_verifier(n, threshold), "doc_a bigint, doc_b bigint, jaccard double")
     )
-    return near.unionByName(copies.withColumn("jaccard", F.lit(1.0)))
+
+
+def all_pairs(
+    docs: DataFrame,
+    n: int = N,
+    threshold: float = THRESHOLD,
+    bands: int = BANDS,
+    rows: int = ROWS,
+    compared: int = COMPARED,
+    tolerance: float = TOLERANCE,
+    tile_docs: int = TILE_DOCS,
+) -> DataFrame:
+    """``(doc_a, doc_b, jaccard)`` with ``doc_a < doc_b`` for all pairs of similar documents, copies included.
+
+    As :func:`jaccard_join`, but between all members of classes, not their smallest
+    ids only; each pair comes once.  The result is quadratic in the size of a group.
+    Lists of members are cut into blocks of ``tile_docs``, so that no row stands for
+    more than ``tile_docs`` squared pairs and a large group spreads over tasks.
+    """
+    bound_batches(docs.sparkSession)
+    own = F.col("doc_id").cast("bigint")
+    # an id with several texts is in several classes: classes are named by id and text
+    keyed = docs.where(own.isNotNull()).select(F.xxhash64(own, "text").alias("key"), own.alias("id"), "text")
+    signed = keyed.select(F.struct("key", "id").alias("doc_id"), "text").mapInArrow(
+        _signer(n, bands, rows, compared), "doc_id struct<key: bigint, id: bigint>, digest binary, bands array<bigint>, payload binary"
+    )
+    classes = stored(
+        signed.groupBy("digest").agg(
+            F.min("doc_id.key").alias("doc_id"), F.collect_set("doc_id.id").alias("ids"), F.first("bands").alias("bands"), F.first("payload").alias("payload")
+        ).drop("digest"),
+        "classes",
+    )
+    near = stored(_near(keyed.select(F.col("key").alias("doc_id"), "text"), _candidates(classes, bands, compared, threshold, tolerance), n, threshold, tile_docs), "near")
+    cut = F.transform(
+        F.sequence(F.lit(0), F.floor((F.size("ids") - 1) / tile_docs).cast("int")), lambda k: F.slice("ids", k * tile_docs + 1, tile_docs)
+    )
+    blocks = classes.select("doc_id", F.posexplode(cut).alias("block", "ids"))
+    a = blocks.select(F.col("doc_id").alias("doc_a"), F.col("ids").alias("xs"))
+    b = blocks.select(F.col("doc_id").alias("doc_b"), F.col("ids").alias("ys"))
+    across = near.join(a, "doc_a").join(b, "doc_b").select("xs", "ys", "jaccard", F.lit(False).alias("once"))
+    many = classes.where(F.size("ids") > 1).select("doc_id", F.posexplode(cut).alias("block", "ids"))
+    p, q = many.alias("p"), many.alias("q")
+    same = p.join(q, (F.col("p.doc_id") == F.col("q.doc_id")) & (F.col("p.block") <= F.col("q.block"))).select(
+        F.col("p.ids").alias("xs"), F.col("q.ids").alias("ys"), F.lit(1.0).alias("jaccard"), (F.col("p.block") == F.col("q.block")).alias("once")
+    )
+    # within one block each pair would come in both orders
+    found = (
+        across.unionByName(same)
+        .select(F.explode("xs").alias("x"), "ys", "jaccard", "once")
+        .select("x", F.explode("ys").alias("y"), "jaccard", "once")
+        .where("x <> y and (x < y or not once)")
+        .select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"), "jaccard")
+    )
+    repeated = classes.select(F.explode("ids").alias("id")).groupBy("id").count().where("count > 1")
+    return found if repeated.isEmpty() else found.groupBy("doc_a", "doc_b").agg(F.max("jaccard").alias("jaccard"))
 
 
 def expand(pairs: DataFrame) -> DataFrame:

@@ -29,6 +29,11 @@ def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_join(table(spark, sf_dir, "documents"))
 
 
+def op3_ngram_jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs of members; ``op3_ngram_jaccard_join`` gives pairs of classes."""
+    return ngram_join.all_pairs(table(spark, sf_dir, "documents"))
+
+
 def _with_offsets(found: DataFrame) -> DataFrame:
     spans = F.transform("removed", lambda x: F.concat_ws(":", x["start"].cast("string"), x["end"].cast("string")))
     return found.select("doc_id", "text", F.array_join(spans, ";").alias("removed"))
@@ -75,6 +80,7 @@ def op10_chat_prefix_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_language_id": op1_language_id,
     "op2_decontamination": op2_decontamination,
+    "op3_ngram_jaccard_pairs": op3_ngram_jaccard_pairs,
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_warc_captures": op5_warc_captures,
@@ -207,6 +213,17 @@ WITH d AS (
 )
 SELECT doc_id, item_id, count(*)::DOUBLE / any_value(n)::DOUBLE AS containment FROM d JOIN i USING (g)
 GROUP BY doc_id, item_id HAVING count(*)::DOUBLE / any_value(n)::DOUBLE >= {decontaminate.CONTAINMENT}
+""",
+    "op3_ngram_jaccard_pairs": f"""
+WITH w AS (SELECT doc_id, {WORDS} AS ws FROM documents WHERE doc_id IS NOT NULL),
+s AS (SELECT *, row_number() OVER () AS t FROM (SELECT DISTINCT doc_id, list_sort({SHINGLES}) AS sh FROM w WHERE len(ws) > 0)),
+e AS (SELECT t, doc_id, len(sh) AS n, unnest(sh) AS g FROM s),
+p AS (
+  SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, count(*) AS common, any_value(a.n) AS na, any_value(b.n) AS nb
+  FROM e a JOIN e b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY a.t, b.t, 1, 2
+)
+SELECT doc_a, doc_b, max(common::DOUBLE / (na + nb - common)::DOUBLE) AS jaccard FROM p
+GROUP BY 1, 2 HAVING max(common::DOUBLE / (na + nb - common)::DOUBLE) >= {ngram_join.THRESHOLD}
 """,
     "op3_ngram_jaccard_join": f"""
 WITH w AS (SELECT doc_id, {WORDS} AS ws FROM documents WHERE doc_id IS NOT NULL),

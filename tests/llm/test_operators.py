@@ -92,6 +92,17 @@ def test_jaccard_join_recalls_brute_force(spark):
     assert got <= want and len(got) >= 0.9 * len(want)
 
 
+def test_every_pair_of_members_is_returned(spark):
+    texts = {i: words(60, 1) for i in range(5)} | {i: words(60, 1) + " one more" for i in range(5, 9)} | {9: words(60, 2)}
+    more = [*texts.items(), (9, texts[0])]  # an id with two texts
+    for tile_docs in (2, 512):
+        got = [tuple(r) for r in ngram_join.all_pairs(table(spark, more), tile_docs=tile_docs).collect()]
+        j = len(shingles(texts[0])) / len(shingles(texts[5]))
+        kind = {i: 5 <= i < 9 for i in texts}
+        assert sorted(got) == [(a, b, 1.0 if kind[a] == kind[b] else j) for a in texts for b in texts if a < b]
+    assert "op3_ngram_jaccard_pairs" in QUERIES and ngram_join.all_pairs(table(spark, more).limit(0)).count() == 0
+
+
 def test_items_are_found_inside_long_texts(spark):
     items = [(i, words(12 + 5 * i, 500 + i)) for i in range(12)]
     texts = [(i, f"{words(8000, i)} {t} {words(8000, 50 + i)}") for i, t in items] + [(99, words(5000, 9999))]
