@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, hamming, langid, mixing, ngram_join, substrings, templates, warc, wavelet
+from . import chat, decontaminate, hamming, langid, mixing, ngram_join, passages, substrings, templates, warc, wavelet
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -43,6 +43,11 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _with_offsets(substrings.remove_repeats(table(spark, sf_dir, "documents")))
 
 
+def op4_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeated passages with their exact edges; ``op4_substring_dedup`` removes whole sentences only."""
+    return _with_offsets(passages.remove_passages(table(spark, sf_dir, "documents")))
+
+
 def op5_warc_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each capture's nested records as JSON, payloads as text."""
     found = warc.assemble(warc.records(warc.pages_as_warc(table(spark, sf_dir, "pages"))))
@@ -82,6 +87,7 @@ QUERIES: dict[str, Query] = {
     "op2_decontamination": op2_decontamination,
     "op3_ngram_jaccard_pairs": op3_ngram_jaccard_pairs,
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
+    "op4_passage_dedup": op4_passage_dedup,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_warc_captures": op5_warc_captures,
     "op6_wavelet_shards": op6_wavelet_shards,

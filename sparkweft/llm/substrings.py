@@ -46,13 +46,16 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
         return np.cumprod(out, dtype=np.uint64)
 
 
-def units(texts: list[str | None], min_words: int) -> tuple[np.ndarray, ...]:
-    """The units of at least ``min_words`` words: text, start, end (characters), and two 64-bit digests."""
+def units(texts: list[str | None], min_words: int, sentences: bool = True) -> tuple[np.ndarray, ...]:
+    """The units of at least ``min_words`` words: text, start, end (characters), and two 64-bit digests.
+
+    Without ``sentences`` they are whole lines.
+    """
     cp, ends = codepoints(texts)
     stop = (cp == 46) | (cp == 33) | (cp == 63)
     after_stop = np.zeros(len(cp), bool)
     after_stop[1:] = (cp[1:] == 32) & stop[:-1]
-    cut = np.flatnonzero((cp == 10) | after_stop) + 1
+    cut = np.flatnonzero((cp == 10) | after_stop if sentences else cp == 10) + 1
     start = np.concatenate([np.zeros(1, np.int64), cut[:-1]])
     of = np.searchsorted(ends, start, "right") - 1
     last = np.minimum(cut, ends[of + 1] - 1)  # without the line break that codepoints() adds

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from sparkweft.llm import chat, decontaminate, hamming, langid, mixing, ngram_join, substrings, templates, tokens, warc, wavelet
+from sparkweft.llm import chat, decontaminate, hamming, langid, mixing, ngram_join, passages, substrings, templates, tokens, warc, wavelet
 from sparkweft.llm.queries import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"
@@ -103,6 +103,17 @@ def test_every_pair_of_members_is_returned(spark):
     assert "op3_ngram_jaccard_pairs" in QUERIES and ngram_join.all_pairs(table(spark, more).limit(0)).count() == 0
 
 
+def test_spliced_passages_go_as_a_whole(spark):
+    passage = words(30, 70) + ". " + words(2, 71) + ". " + words(14, 72)
+    plain = words(40, 73)
+    host = lambda t, k: f"{words(9, k)} {t} {words(8, k + 1)}."
+    texts = [(1, host(passage, 80)), (2, host(passage, 82)), (3, host(plain, 84)), (4, host(plain, 86)), (5, plain), (6, ("la li " * 40).strip())]
+    got = {r.doc_id: r.text for r in passages.remove_passages(table(spark, texts)).collect()}
+    assert {i: re.sub(r"[\s.]+", " ", got[i]).strip() for i in (2, 4, 5)} == {2: f"{words(9, 82)} {words(8, 83)}", 4: f"{words(9, 86)} {words(8, 87)}", 5: ""}
+    assert got[1] == texts[0][1] and got[3] == texts[2][1] and got[6].startswith("la li " * 6) and len(got[6]) < len(texts[5][1])
+    assert "op4_passage_dedup" in QUERIES
+
+
 def test_items_are_found_inside_long_texts(spark):
     items = [(i, words(12 + 5 * i, 500 + i)) for i in range(12)]
     texts = [(i, f"{words(8000, i)} {t} {words(8000, 50 + i)}") for i, t in items] + [(99, words(5000, 9999))]
