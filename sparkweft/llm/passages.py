@@ -85,7 +85,7 @@ def _piece_rows(min_words: int, run: int):
             texts = batch.column(2).to_pylist()
             for lo, hi in chunks(texts):
                 part = texts[lo:hi]
-                for wide, found in ((True, units(part, min_words)), (True, runs(part, run))):
+                for wide, found in ((True, units(part, min_words)), (True, runs(part, run)), (False, units(part, 1, sentences=False))):
                     at, start, end, a, b = found
                     yield pa.RecordBatch.from_arrays(
                         [

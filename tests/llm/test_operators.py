@@ -114,6 +114,13 @@ def test_spliced_passages_go_as_a_whole(spark):
     assert "op4_passage_dedup" in QUERIES
 
 
+def test_short_lines_and_sentences_of_copies_go(spark):
+    texts = [(1, "All rights reserved\nOne two. Three four. Five."), (2, "All rights reserved\nOne two. Three four. Five."), (3, words(20, 90) + "\nAll rights reserved\nown"), (4, "Isolated here. " + words(8, 91)), (5, "Isolated here. " + words(8, 92))]
+    got = {r.doc_id: r.text for r in passages.remove_passages(table(spark, texts)).collect()}
+    assert got == {1: texts[0][1], 2: "", 3: words(20, 90) + "\nown", 4: texts[3][1], 5: texts[4][1]}
+    assert passages.remove_passages(table(spark, AWKWARD)).count() == len(AWKWARD) and passages.remove_passages(table(spark, AWKWARD).limit(0)).count() == 0
+
+
 def test_items_are_found_inside_long_texts(spark):
     items = [(i, words(12 + 5 * i, 500 + i)) for i in range(12)]
     texts = [(i, f"{words(8000, i)} {t} {words(8000, 50 + i)}") for i, t in items] + [(99, words(5000, 9999))]
