@@ -413,31 +413,30 @@ def expand(pairs: DataFrame) -> DataFrame:
     return same.unionByName(across).select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"), "jaccard")
 
 
-def groups(pairs: DataFrame, max_rounds: int = 60) -> DataFrame:
+def groups(pairs: DataFrame) -> DataFrame:
     """Connected components of ``pairs``: ``(doc_id, group_id)``, the group's smallest id.
 
-    Each round hooks every label to the smallest label next to it and then jumps
-    to that label's own label, so the rounds needed grow with the logarithm of the
-    longest path.  Labels are stored after each round.
+    Alternating large and small stars (Kiveris et al., 2014) until no edge moves: each
+    id passes its larger, then its smaller neighbours on to the smallest id around it.
+    Edges are stored after each step, and there are never more of them than pairs.
     """
-    p = stored(pairs.select("doc_a", "doc_b"), "pairs")
-    both = p.unionByName(p.select(F.col("doc_b").alias("doc_a"), F.col("doc_a").alias("doc_b")))
-    labels = stored(both.groupBy("doc_a").agg(F.least(F.min("doc_b"), F.first("doc_a")).alias("g")).withColumnRenamed("doc_a", "doc_id"), "labels")
-    for _ in range(max_rounds):
-        near = (
-            both.join(labels.select(F.col("doc_id").alias("doc_b"), F.col("g").alias("h")), "doc_b")
-            .groupBy(F.col("doc_a").alias("doc_id"))
-            .agg(F.min("h").alias("h"))
-        )
-        hooked = labels.join(near, "doc_id").select("doc_id", "g", F.least("g", "h").alias("h"))
-        jumped = hooked.join(labels.select(F.col("doc_id").alias("h"), F.col("g").alias("hg")), "h", "left").select(
-            "doc_id", F.least("h", F.coalesce("hg", "h")).alias("g"), (F.col("g") != F.least("h", F.coalesce("hg", "h"))).alias("moved")
-        )
-        new = stored(jumped, "labels")
-        labels = new.select("doc_id", "g")
-        if new.where("moved").isEmpty():
-            return labels.withColumnRenamed("g", "group_id")
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+    edges = stored(
+        pairs.where("doc_a <> doc_b").select(F.greatest("doc_a", "doc_b").alias("u"), F.least("doc_a", "doc_b").alias("v")).distinct(), "pairs"
+    )
+    while True:
+        # large: of all neighbours the larger ones
+        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = stored(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "stars")
+        # small: of the smaller neighbours all, and the id itself
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        new = stored(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "stars")
+        if new.count() == edges.count() and new.join(edges, ["u", "v"], "left_anti").isEmpty():
+            break
+        edges = new
+    found = edges.select(F.col("u").alias("doc_id"), F.col("v").alias("group_id"))
+    return found.unionByName(edges.select(F.col("v").alias("doc_id"), F.col("v").alias("group_id")).distinct())
 
 
 def deduplicate(docs: DataFrame, **options) -> DataFrame:

@@ -92,6 +92,15 @@ def test_jaccard_join_recalls_brute_force(spark):
     assert got <= want and len(got) >= 0.9 * len(want)
 
 
+def test_groups_of_a_long_chain_in_adverse_order(spark):
+    order = random.Random(5).sample(range(1, 501), 500)
+    chain = [*zip(order, order[1:]), *zip([600, *range(700, 630, -1)], range(700, 630, -1)), (900, 901)]
+    pairs = spark.createDataFrame([(min(p), max(p)) for p in chain], "doc_a bigint, doc_b bigint")
+    got = {r.doc_id: r.group_id for r in ngram_join.groups(pairs).collect()}
+    assert got == {i: 1 for i in range(1, 501)} | {i: 600 for i in (600, *range(631, 701))} | {900: 900, 901: 900}
+    assert ngram_join.groups(pairs.limit(0)).count() == 0
+
+
 def test_every_pair_of_members_is_returned(spark):
     texts = {i: words(60, 1) for i in range(5)} | {i: words(60, 1) + " one more" for i in range(5, 9)} | {9: words(60, 2)}
     more = [*texts.items(), (9, texts[0])]  # an id with two texts
