@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .ngram_join import groups
 from .scratch import stored
 
 RECORD_SCHEMA = (
@@ -148,7 +149,8 @@ def assemble(found: DataFrame) -> DataFrame:
     ``found`` has the columns of :data:`RECORD_SCHEMA`; others are ignored.  Records
     are linked if either names the other in ``concurrent_to``.  A response makes a
     capture; any other record belongs to the response that it is linked to, directly
-    or over one record in between (the one of smallest id, if there are several).
+    or over any number of others that are no response (the one of smallest id, if there
+    are several).
     Where no response is in reach, requests make captures, then other records; their
     ``response`` is null.  Records without an id are left out, links to absent
     records have no effect, repeated records count once (of several with one id and
@@ -165,12 +167,15 @@ def assemble(found: DataFrame) -> DataFrame:
     one_way = light.select("record_id", F.explode("concurrent_to").alias("other")).where("other is not null")
     links = one_way.unionByName(one_way.select(F.col("other").alias("record_id"), F.col("record_id").alias("other"))).distinct()
     own = ids.groupBy("record_id").agg(F.min("anchor").alias("anchor"))
-    known = own
-    for _ in range(2):
-        near = links.join(known.select(F.col("record_id").alias("other"), "anchor"), "other").select("record_id", "anchor")
-        both = known.select("record_id", "anchor").unionByName(near)
-        # a record with links to others only is absent itself and drops out at the end
-        known = stored(both.groupBy("record_id").agg(F.min("anchor").alias("anchor")), "anchors")
+    near, far = own.select("record_id", F.col("anchor").alias("a")), own.select(F.col("record_id").alias("other"), F.col("anchor").alias("b"))
+    # links of records that are there, from those that are no response; a component of such goes to one anchor
+    linked = stored(links.join(near, "record_id").join(far, "other").where("a.rank > 0"), "links")
+    inner = linked.where("b.rank > 0 and record_id < other").select(F.col("record_id").alias("doc_a"), F.col("other").alias("doc_b"))
+    part = groups(inner).withColumnRenamed("doc_id", "record_id")
+    reached = own.unionByName(linked.select("record_id", F.col("b").alias("anchor"))).groupBy("record_id").agg(F.min("anchor").alias("anchor"))
+    member = reached.join(part, "record_id", "left").select("record_id", "anchor", F.coalesce("group_id", "record_id").alias("group_id"))
+    member = stored(member, "anchors")
+    known = member.select("record_id", "group_id").join(member.groupBy("group_id").agg(F.min("anchor").alias("anchor")), "group_id")
     capture = known.select("record_id", F.col("anchor.id").alias("capture_id"))
     responses = kept.where("type = 'response'").select(F.col("record_id").alias("capture_id"), *columns)
     others = light.where("type is null or type <> 'response'").select(*columns).join(capture, "record_id").select("capture_id", *columns)

@@ -224,6 +224,16 @@ def test_warc_links_and_damage(spark):
     assert warc.assemble(warc.records(df.limit(0))).count() == 0
 
 
+def test_warc_links_are_followed_to_their_end(spark):
+    def row(i, kind, *to):
+        return (i, kind, "u", "2024", {}, bytearray(b"GET / HTTP/1.1\r\n\r\n"), list(to))
+
+    rows = [row("r", "response"), row("d1", "metadata", "r"), row("c2", "metadata", "d1"), row("b3", "request", "c2"), row("a4", "metadata", "b3"), row("s", "response", "x1"), row("x1", "metadata", "gone"), row("y", "metadata", "gone"), row("t", "metadata", "s")]
+    df = spark.createDataFrame(rows, warc.records(spark.createDataFrame([], "content binary")).select("record_id", "type", "target_uri", "date", "headers", "block", "concurrent_to").schema)
+    got = {r.capture_id: {x.record_id for x in [*r.requests, *r.metadata]} for r in warc.assemble(df).collect()}
+    assert got == {"r": {"a4", "b3", "c2", "d1"}, "s": {"x1", "t"}, "y": {"y"}}
+
+
 def test_mixing_meets_weights(spark):
     docs = spark.createDataFrame([(i, "w " * 10, "en" if i % 4 else "de", f"src{i % 8}") for i in range(800)], "doc_id bigint, text string, lang string, source string")
     taken = mixing.mix(docs, budget_percent=40).groupBy("domain").sum("taken").collect()
