@@ -332,8 +332,8 @@ SELECT 'Book Title ' || n AS title, printf('£%.2f', 10 + n % 40 + 0.99 * (n % 7
 def catalogue_crawl(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 50-page catalogue by declared extraction: pages are joined with what follows each, in one plan.
 
-    The pager is a chain, so the crawl's depth is the page's number; :class:`.crawl.Crawl` itself is run over
-    it level by level by the tests.
+    No crawl takes place: the pager is a chain, so a crawl's depth would be the page's number.  The tests run
+    :class:`.crawl.Crawl` over the first three pages only.
     """
     pages = written(catalogue(spark), staging_dir(spark, "catalogue"))
     items = extract_rows(pages, "article.product_pod", BOOK, ("url",))
