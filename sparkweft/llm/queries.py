@@ -29,11 +29,6 @@ def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_join(table(spark, sf_dir, "documents"))
 
 
-def op3_ngram_jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All pairs of members; ``op3_ngram_jaccard_join`` gives pairs of classes."""
-    return ngram_join.all_pairs(table(spark, sf_dir, "documents"))
-
-
 def _with_offsets(found: DataFrame) -> DataFrame:
     spans = F.transform("removed", lambda x: F.concat_ws(":", x["start"].cast("string"), x["end"].cast("string")))
     return found.select("doc_id", "text", F.array_join(spans, ";").alias("removed"))
@@ -85,7 +80,6 @@ def op10_chat_prefix_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_language_id": op1_language_id,
     "op2_decontamination": op2_decontamination,
-    "op3_ngram_jaccard_pairs": op3_ngram_jaccard_pairs,
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
     "op4_passage_dedup": op4_passage_dedup,
     "op4_substring_dedup": op4_substring_dedup,
@@ -219,30 +213,20 @@ WITH d AS (
 )
 SELECT doc_id, item_id, count(*)::DOUBLE / any_value(n)::DOUBLE AS containment FROM d JOIN i USING (g)
 GROUP BY doc_id, item_id HAVING count(*)::DOUBLE / any_value(n)::DOUBLE >= {decontaminate.CONTAINMENT}
-""",
-    "op3_ngram_jaccard_pairs": f"""
-WITH w AS (SELECT doc_id, {WORDS} AS ws FROM documents WHERE doc_id IS NOT NULL),
-s AS (SELECT *, row_number() OVER () AS t FROM (SELECT DISTINCT doc_id, list_sort({SHINGLES}) AS sh FROM w WHERE len(ws) > 0)),
-e AS (SELECT t, doc_id, len(sh) AS n, unnest(sh) AS g FROM s),
-p AS (
-  SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, count(*) AS common, any_value(a.n) AS na, any_value(b.n) AS nb
-  FROM e a JOIN e b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY a.t, b.t, 1, 2
-)
-SELECT doc_a, doc_b, max(common::DOUBLE / (na + nb - common)::DOUBLE) AS jaccard FROM p
-GROUP BY 1, 2 HAVING max(common::DOUBLE / (na + nb - common)::DOUBLE) >= {ngram_join.THRESHOLD}
 """,
     "op3_ngram_jaccard_join": f"""
-WITH w AS (SELECT doc_id, {WORDS} AS ws FROM documents WHERE doc_id IS NOT NULL),
-s AS (SELECT doc_id, list_sort({SHINGLES}) AS sh FROM w WHERE len(ws) > 0),
-c AS (SELECT min(doc_id) AS doc_id, list(DISTINCT doc_id) AS ids, sh FROM s GROUP BY sh),
-e AS (SELECT doc_id, len(sh) AS n, unnest(sh) AS g FROM c),
+WITH RECURSIVE w AS (SELECT doc_id, {WORDS} AS ws FROM documents WHERE doc_id IS NOT NULL),
+s AS (SELECT DISTINCT doc_id, CASE WHEN len(ws) > 0 THEN list_sort({SHINGLES}) END AS sh FROM w),
+c AS (SELECT row_number() OVER () AS cls, min(doc_id) AS doc_id, count(*) AS size, sh FROM s WHERE sh IS NOT NULL GROUP BY sh),
+e AS (SELECT cls, len(sh) AS n, unnest(sh) AS g FROM c),
 p AS (
-  SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, count(*) AS common, any_value(a.n) AS na, any_value(b.n) AS nb
-  FROM e a JOIN e b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2
-)
-SELECT doc_a, doc_b, common::DOUBLE / (na + nb - common)::DOUBLE AS jaccard FROM p
-WHERE common::DOUBLE / (na + nb - common)::DOUBLE >= {ngram_join.THRESHOLD}
-UNION ALL
-SELECT doc_id, m, 1.0::DOUBLE FROM (SELECT doc_id, unnest(ids) AS m FROM c) WHERE m <> doc_id
+  SELECT a.cls AS x, b.cls AS y FROM e a JOIN e b ON a.g = b.g AND a.cls <> b.cls GROUP BY 1, 2
+  HAVING count(*)::DOUBLE / (any_value(a.n) + any_value(b.n) - count(*))::DOUBLE >= {ngram_join.THRESHOLD}
+),
+reach AS (SELECT cls, doc_id FROM c UNION SELECT p.y, reach.doc_id FROM reach JOIN p ON p.x = reach.cls),
+near AS (SELECT x, sum(size) AS near FROM p JOIN c ON c.cls = p.y GROUP BY x),
+k AS (SELECT cls, min(doc_id) AS class_id FROM reach GROUP BY cls)
+SELECT s.doc_id, coalesce(class_id, s.doc_id) AS class_id, coalesce(size - 1, 0)::BIGINT AS copies, (coalesce(size - 1, 0) + coalesce(near, 0))::BIGINT AS links
+FROM s LEFT JOIN c USING (sh) LEFT JOIN near ON near.x = c.cls LEFT JOIN k ON k.cls = c.cls
 """,
 }

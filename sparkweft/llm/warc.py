@@ -170,8 +170,8 @@ def assemble(found: DataFrame) -> DataFrame:
     near, far = own.select("record_id", F.col("anchor").alias("a")), own.select(F.col("record_id").alias("other"), F.col("anchor").alias("b"))
     # links of records that are there, from those that are no response; a component of such goes to one anchor
     linked = stored(links.join(near, "record_id").join(far, "other").where("a.rank > 0"), "links")
-    inner = linked.where("b.rank > 0 and record_id < other").select(F.col("record_id").alias("doc_a"), F.col("other").alias("doc_b"))
-    part = groups(inner).withColumnRenamed("doc_id", "record_id")
+    inner = linked.where("b.rank > 0 and record_id < other").select(F.col("record_id").alias("a"), F.col("other").alias("b"))
+    part = groups(inner).withColumnRenamed("id", "record_id")
     reached = own.unionByName(linked.select("record_id", F.col("b").alias("anchor"))).groupBy("record_id").agg(F.min("anchor").alias("anchor"))
     member = reached.join(part, "record_id", "left").select("record_id", "anchor", F.coalesce("group_id", "record_id").alias("group_id"))
     member = stored(member, "anchors")

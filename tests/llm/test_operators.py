@@ -58,7 +58,8 @@ def test_awkward_tables(spark, empty):
     model = langid.train(docs)
     assert langid.identify(docs, model).count() == n
     assert langid.keep_identified(docs, model).columns == docs.columns
-    assert {(r.doc_a, r.doc_b) for r in ngram_join.jaccard_join(docs).collect()} == (set() if empty else {(5, 6)})
+    joined = sorted(tuple(r) for r in ngram_join.jaccard_join(docs).collect())
+    assert joined == ([] if empty else [*((i, i, 0, 0) for i in (1, 2, 3, 4)), (5, 5, 1, 1), (6, 5, 1, 1), (7, 7, 0, 0), (7, 7, 0, 0)])
     assert ngram_join.deduplicate(docs).count() == (0 if empty else n - 1)
     assert {r.doc_id for r in decontaminate.find_items(docs, items).collect()} == (set() if empty else {5, 6})
     assert decontaminate.decontaminate(docs, items).count() == (0 if empty else n - 3)
@@ -79,39 +80,78 @@ def test_language_is_found_on_held_out_text(spark):
     assert [r.lang_found for r in langid.identify(junk, model).collect()] == ["und", "und"]
 
 
-def test_jaccard_join_recalls_brute_force(spark):
+def similar(texts, threshold=ngram_join.THRESHOLD):
+    sets = {i: shingles(t) for i, t in texts}
+    return {(a, b) for a in sets for b in sets if a < b and sets[a] and len(sets[a] & sets[b]) / max(1, len(sets[a] | sets[b])) >= threshold}
+
+
+def joined(texts, pairs):
+    """What the join has to say of documents, by their similar pairs."""
+    up, links = {i: i for i, _ in texts}, dict.fromkeys((i for i, _ in texts), 0)
+    for a, b in sorted(pairs):
+        links[a] += 1
+        links[b] += 1
+        x, y = sorted((up[a], up[b]))
+        up = {i: x if r == y else r for i, r in up.items()}
+    return {i: (up[i], links[i]) for i in up}
+
+
+def near_copies():
     r, texts = random.Random(3), []
     for g in range(30):
         base = words(80, 100 + g).split()
         for k in range(4):
-            own = [w if r.random() > 0.02 * k else "x" + w for w in base]
-            texts.append((g * 4 + k, " ".join(own)))
-    sets = {i: shingles(t) for i, t in texts}
-    want = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= ngram_join.THRESHOLD}
-    got = {(p.doc_a, p.doc_b) for p in ngram_join.expand(ngram_join.jaccard_join(table(spark, texts))).collect()}
+            texts.append((g * 4 + k, " ".join(w if r.random() > 0.02 * k else "x" + w for w in base)))
+    return texts
+
+
+def test_jaccard_join_recalls_brute_force(spark):
+    texts = near_copies()
+    want = similar(texts)
+    members, pairs = ngram_join.class_pairs(table(spark, texts))
+    of = {}
+    for r in members.collect():
+        of.setdefault(r.cls, []).append(r.doc_id)
+    got = {tuple(sorted((x, y))) for p in pairs.collect() for x in of[p.a] for y in of[p.b]} | {(x, y) for m in of.values() for x in m for y in m if x < y}
     assert got <= want and len(got) >= 0.9 * len(want)
+    assert {r.doc_id: (r.class_id, r.links) for r in ngram_join.jaccard_join(table(spark, texts)).collect()} == joined(texts, got)
+
+
+@pytest.mark.parametrize("rows", [4, 64])
+def test_large_buckets_are_cut_without_losing_links(spark, monkeypatch, rows):
+    """All of 200 near copies fall into common buckets; a chain of revisions and strangers besides."""
+    monkeypatch.setattr(ngram_join, "BUCKET_ROWS", rows)
+    base = words(60, 5).split()
+    texts = [(i, " ".join([*base, words(2, 1000 + i)])) for i in range(200)]
+    texts += [(300 + i, words(40, 77)) for i in range(5)] + [(400 + i, words(40, 2000 + i)) for i in range(20)]
+    long = words(400, 8).split()
+    texts += [(500 + i, " ".join(long[20 * i : 20 * i + 80])) for i in range(15)]
+    want = joined(texts, similar(texts))
+    docs = table(spark, texts)
+    assert {r.doc_id: (r.class_id, r.links) for r in ngram_join.jaccard_join(docs, tile_docs=32).collect()} == want
+    kept = {r.doc_id for r in ngram_join.deduplicate(docs, tile_docs=32).collect()}
+    assert kept == {c for c, _ in want.values()}
+
+
+def test_groups_across_components_of_a_large_bucket(spark, monkeypatch):
+    """Members of a bucket that are far from its smallest class but near to each other still meet."""
+    for name, value in (("BUCKET_ROWS", 3), ("FEW", 2)):
+        monkeypatch.setattr(ngram_join, name, value)
+    long = words(600, 9).split()
+    texts = [(i, " ".join(long[6 * i : 6 * i + 100])) for i in range(60)]  # neighbours share most, ends nothing
+    kept = {r.doc_id for r in ngram_join.deduplicate(table(spark, texts)).collect()}
+    assert kept == {c for c, _ in joined(texts, similar(texts)).values()} == {0}
 
 
 def test_groups_of_a_long_chain_in_adverse_order(spark):
     order = random.Random(5).sample(range(1, 501), 500)
     chain = [*zip(order, order[1:]), *zip([600, *range(700, 630, -1)], range(700, 630, -1)), (900, 901)]
-    pairs = spark.createDataFrame([(min(p), max(p)) for p in chain], "doc_a bigint, doc_b bigint")
-    got = {r.doc_id: r.group_id for r in ngram_join.groups(pairs).collect()}
+    pairs = spark.createDataFrame([(min(p), max(p)) for p in chain], "a bigint, b bigint")
+    got = {r.id: r.group_id for r in ngram_join.groups(pairs).collect()}
     assert got == {i: 1 for i in range(1, 501)} | {i: 600 for i in (600, *range(631, 701))} | {900: 900, 901: 900}
     assert ngram_join.groups(pairs.limit(0)).count() == 0
 
 
-def test_every_pair_of_members_is_returned(spark):
-    texts = {i: words(60, 1) for i in range(5)} | {i: words(60, 1) + " one more" for i in range(5, 9)} | {9: words(60, 2)}
-    more = [*texts.items(), (9, texts[0])]  # an id with two texts
-    for tile_docs in (2, 512):
-        got = [tuple(r) for r in ngram_join.all_pairs(table(spark, more), tile_docs=tile_docs).collect()]
-        j = len(shingles(texts[0])) / len(shingles(texts[5]))
-        kind = {i: 5 <= i < 9 for i in texts}
-        assert sorted(got) == [(a, b, 1.0 if kind[a] == kind[b] else j) for a in texts for b in texts if a < b]
-    assert "op3_ngram_jaccard_pairs" in QUERIES and ngram_join.all_pairs(table(spark, more).limit(0)).count() == 0
-
-
 def test_spliced_passages_go_as_a_whole(spark):
     passage = words(30, 70) + ". " + words(2, 71) + ". " + words(14, 72)
     plain = words(40, 73)
