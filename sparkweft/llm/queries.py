@@ -182,7 +182,7 @@ WITH c AS (
     SELECT vec_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings) GROUP BY vec_id
 ),
 p AS (
-  SELECT a.vec_id, b.vec_id AS neighbor_id, bit_count(xor(a.code, b.code))::INT AS distance FROM c a JOIN c b ON a.vec_id <> b.vec_id
+  SELECT a.vec_id, b.vec_id AS neighbor_id, bit_count(xor(a.code, b.code))::INT AS distance FROM c a JOIN c b ON a.vec_id <> b.vec_id WHERE a.vec_id % {hamming.QUERY_EVERY} = 0
 )
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY distance, neighbor_id)::INT AS rank FROM p) WHERE rank <= {hamming.K}
 """,

@@ -216,12 +216,14 @@ def test_wavelet_shard_access_count_locate(spark):
 
 
 @pytest.mark.parametrize("bits", [7, 64, 100])
-def test_nearest_codes_are_exact(spark, bits):
+@pytest.mark.parametrize("blocks", [(25, 16), (1000, 1000)])
+def test_nearest_codes_are_exact(spark, bits, blocks):
     rng = np.random.default_rng(bits)
     vectors = [(i, rng.normal(size=bits).round(2).tolist()) for i in range(60)] + [(60, None), (None, [1.0]), (61, []), (1, [0.0])]
-    df = spark.createDataFrame(vectors, "vec_id bigint, embedding array<double>")
+    vectors += [(i, [1.0] * bits) for i in range(70, 100)]  # one code many times
+    df = spark.createDataFrame([(i, v, 1, 2) for i, v in vectors], "vec_id bigint, embedding array<double>, place int, code int")
     got = {}
-    for r in hamming.nearest(df, k=3, block_codes=25, block_queries=16).collect():
+    for r in hamming.nearest(df, k=3, every=2, block_codes=blocks[0], block_queries=blocks[1]).collect():
         got.setdefault(r.vec_id, {})[r.rank] = (r.distance, r.neighbor_id)
     code = {}
     for i, v in vectors:
@@ -231,8 +233,16 @@ def test_nearest_codes_are_exact(spark, bits):
             packed = np.packbits(b, bitorder="little").tobytes()
             code[i] = min(code.get(i, packed), packed)
     dist = lambda a, b: int(np.bitwise_count(np.frombuffer(a, np.uint8) ^ np.frombuffer(b, np.uint8)).sum())
-    for i, c in code.items():
-        assert [got[i][k] for k in (1, 2, 3)] == sorted((dist(c, d), j) for j, d in code.items() if j != i)[:3]
+    assert set(got) == {i for i in code if i % 2 == 0}
+    for i in got:
+        assert [got[i][k] for k in (1, 2, 3)] == sorted((dist(code[i], d), j) for j, d in code.items() if j != i)[:3]
+
+
+def test_nearest_of_small_tables(spark):
+    schema = "vec_id bigint, embedding array<float>"
+    assert hamming.nearest(spark.createDataFrame([], schema)).count() == 0
+    two = spark.createDataFrame([(0, [1.0]), (3, [-1.0]), (3, [-1.0])], schema)
+    assert [tuple(r) for r in hamming.nearest(two).collect()] == [(0, 3, 1, 1)]
 
 
 def test_chat_trees_share_prefixes(spark):
