@@ -19,7 +19,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .scratch import bound_batches
@@ -280,16 +280,32 @@ class Identifier:
             self.limit[i] = max(0.0, float(np.quantile(z, 1 - rate))) + margin
 
 
+def shares(languages: dict[str, tuple[int, int]], bound: int) -> dict[str, int]:
+    """For each language the 63-bit hash below which its documents are drawn, from (documents, smallest hash).
+
+    In expectation ``bound`` documents are; the one of the smallest hash always is, so no
+    language is left out however many or few documents it has.
+    """
+    return {x: min(2**63 - 1, max(2**63 * bound // n, least + 1)) for x, (n, least) in languages.items()}
+
+
 def sample(docs: DataFrame, bound: int, seed: int) -> list[tuple[str, str, int]]:
-    """About ``bound`` labelled documents a language at most, drawn by a hash of the id: (lang, text, hash)."""
+    """Up to twice ``bound`` labelled documents a language, ``bound`` in expectation, drawn by a hash of the id: (lang, text, hash)."""
     labelled = docs.where("lang is not null and text is not null and doc_id is not null")
-    counts = {r[0]: r[1] for r in labelled.groupBy("lang").count().collect()}
-    if not counts:
+    h = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(seed)), 1)
+    counted = labelled.groupBy("lang").agg(F.count("*").alias("n"), F.min(h).alias("least")).collect()
+    if not counted:
         return []
-    share = F.create_map(*[x for lang, n in counts.items() for x in (F.lit(lang), F.lit(int(1e6 * bound / n)))])
-    h = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1_000_000))
-    rows = labelled.where(h < share[F.col("lang")]).select("lang", "text", F.xxhash64("doc_id", F.lit(seed + 1)).alias("h")).collect()
-    return sorted(((r[0], r[1], r[2]) for r in rows), key=lambda r: (r[0], r[2], r[1]))
+    below = shares({r["lang"]: (r["n"], r["least"]) for r in counted}, bound)
+    limit = F.create_map(*[F.lit(x) for pair in below.items() for x in pair])
+    drawn = labelled.select("lang", "text", h.alias("h")).where(F.col("h") < limit[F.col("lang")])
+    first = Window.partitionBy("lang").orderBy("h", F.xxhash64("text"))  # ids that repeat have one hash
+    rows = drawn.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= 2 * bound).select("lang", "text", F.xxhash64("h", F.lit(seed + 1)).alias("h")).collect()
+    found = sorted(((r[0], r[1], r[2]) for r in rows), key=lambda r: (r[0], r[2], r[1]))
+    absent = set(below) - {r[0] for r in found}
+    if absent:
+        raise RuntimeError(f"no documents were drawn for {sorted(absent)}")
+    return found
 
 
 def train(
@@ -303,8 +319,9 @@ def train(
 ) -> Identifier:
     """An identifier from a bounded sample of the rows of ``docs`` that have a label in ``lang``.
 
-    The sample is ``sample_docs`` documents a language (in expectation), so what
-    the driver holds does not depend on the size of the corpus.
+    The sample is ``sample_docs`` documents a language in expectation and twice as many
+    at most, so what the driver holds does not depend on the size of the corpus.  Every
+    language with a labelled document is in the model.
     """
     rows = sample(docs, sample_docs, seed)
     aside = {i for i, r in enumerate(rows) if r[2] % 1000 < 1000 * held_out}

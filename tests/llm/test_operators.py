@@ -80,6 +80,62 @@ def test_language_is_found_on_held_out_text(spark):
     assert [r.lang_found for r in langid.identify(junk, model).collect()] == ["und", "und"]
 
 
+def plain_kneser_ney(texts, order):
+    """Interpolated Kneser-Ney from its definition: a function to the probability of a symbol after others."""
+    seqs = ["\0" * (order - 1) + re.sub(r"[^\w]+|[\d_]+", " ", t.lower()) for t in texts]
+    raw = {}
+    for s in seqs:
+        for i in range(order - 1, len(s)):
+            raw[s[i - order + 1 : i + 1]] = raw.get(s[i - order + 1 : i + 1], 0) + 1
+    counts = {order: raw}
+    for n in range(order - 1, 0, -1):  # in how many longer n-grams each is the end
+        counts[n] = {}
+        for g in counts[n + 1]:
+            counts[n][g[1:]] = counts[n].get(g[1:], 0) + 1
+
+    def discount(n):
+        ones, twos = (sum(c == k for c in counts[n].values()) for k in (1, 2))
+        return ones / (ones + 2 * twos) if ones and twos else 0.5
+
+    d = {n: discount(n) for n in counts}
+
+    def p(gram):
+        n = len(gram)
+        if n == 0:
+            return 1 / langid.ALPHABET
+        after = [c for g, c in counts[n].items() if g[:-1] == gram[:-1]]
+        if not after:
+            return p(gram[1:])
+        return max(counts[n].get(gram, 0) - d[n], 0) / sum(after) + d[n] * len(after) / sum(after) * p(gram[1:])
+
+    return p
+
+
+def test_models_are_kneser_ney():
+    corpora = {"en": ["the cat sat on the mat", "a dog ate the hat", "that is that"], "xx": ["lorem ipsum dolor", "sit amet dolor", "ipsum sit"]}
+    models = {k: langid.LanguageModel.train(v, 3) for k, v in corpora.items()}
+    whole = langid.Identifier.merge(models)
+    whole.complete([t for v in corpora.values() for t in v])
+    probes = ["the dog sat", "dolor amet the", "zq", "a", "mat ipsum hat"]
+    bits, size = whole.scores(probes)
+    for i, x in enumerate(whole.languages):
+        p = plain_kneser_ney(corpora[x], 3)
+        for j, t in enumerate(probes):
+            s = "\0\0" + t
+            want = -sum(np.log2(p(s[k - 2 : k + 1])) for k in range(2, len(s))) / len(t)
+            assert size[j] == len(t) and abs(bits[j, i] - want) < 1e-6 * want
+
+
+def test_every_language_is_drawn_at_any_size(spark):
+    sizes = {"rare": 1, "some": 500, "main": 10**9, "huge": 10**11, "vast": 10**13}
+    below = langid.shares({x: (n, 2**63 // (n + 1)) for x, n in sizes.items()}, 600)
+    assert all(abs(n * below[x] / 2**63 - min(n, 600)) <= 1 for x, n in sizes.items())
+    assert langid.shares({"x": (10**18, 2**62)}, 600) == {"x": 2**62 + 1}
+    docs = table(spark, [(7, words(5, k)) for k in range(3000)]).unionByName(table(spark, [(1, None), (2, "")]))
+    rows = langid.sample(docs, 5, 11)  # one id for all: a hash that is almost surely beyond the share
+    assert 0 < len(rows) <= 10 and langid.train(docs, sample_docs=5).languages == ["en"]
+
+
 def similar(texts, threshold=ngram_join.THRESHOLD):
     sets = {i: shingles(t) for i, t in texts}
     return {(a, b) for a in sets for b in sets if a < b and sets[a] and len(sets[a] & sets[b]) / max(1, len(sets[a] | sets[b])) >= threshold}
