@@ -54,6 +54,7 @@ def op5_warc_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.to_json(readable(F.col("response"), "payload")).alias("response"),
         F.to_json(F.transform("requests", lambda r: readable(r, "payload"))).alias("requests"),
         F.to_json(F.transform("metadata", lambda r: readable(r, "content"))).alias("metadata"),
+        "truncated",
     )
 
 
@@ -173,7 +174,7 @@ SELECT rid AS capture_id, url AS target_uri, '2024-01-01T00:00:00Z' AS date,
             'request_line': 'GET ' || CASE WHEN path = '' THEN '/' ELSE path END || ' HTTP/1.1',
             'headers': [{{'name': 'host', 'value': host}}], 'payload': ''}}])::VARCHAR AS requests,
   to_json([{{'date': '2024-01-01T00:00:00Z', 'record_id': mid, 'target_uri': url, 'type': 'metadata',
-            'content': 'pageId: ' || page_id || chr(13) || chr(10)}}])::VARCHAR AS metadata
+            'content': 'pageId: ' || page_id || chr(13) || chr(10)}}])::VARCHAR AS metadata, false AS truncated
 FROM p
 """,
     "op8_hamming_topk": f"""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gzip
 import json
 import random
 import re
@@ -330,14 +331,50 @@ def test_warc_links_and_damage(spark):
     assert warc.assemble(warc.records(df.limit(0))).count() == 0
 
 
-def test_warc_links_are_followed_to_their_end(spark):
-    def row(i, kind, *to):
-        return (i, kind, "u", "2024", {}, bytearray(b"GET / HTTP/1.1\r\n\r\n"), list(to))
+def linked(spark, *rows):
+    """Captures of records (id, type, links): the ids of what belongs to each."""
+    rows = [(i, kind, "u", "2024", list(to), {}, bytearray(b"GET / HTTP/1.1\r\n\r\n"), False, "x", 1) for i, kind, *to in rows]
+    df = spark.createDataFrame(rows, warc.RECORD_SCHEMA + ", anchor string, capture_id int")
+    return {r.capture_id: {x.record_id for x in [*r.requests, *r.metadata]} for r in warc.assemble(df).collect()}
+
 
-    rows = [row("r", "response"), row("d1", "metadata", "r"), row("c2", "metadata", "d1"), row("b3", "request", "c2"), row("a4", "metadata", "b3"), row("s", "response", "x1"), row("x1", "metadata", "gone"), row("y", "metadata", "gone"), row("t", "metadata", "s")]
-    df = spark.createDataFrame(rows, warc.records(spark.createDataFrame([], "content binary")).select("record_id", "type", "target_uri", "date", "headers", "block", "concurrent_to").schema)
-    got = {r.capture_id: {x.record_id for x in [*r.requests, *r.metadata]} for r in warc.assemble(df).collect()}
-    assert got == {"r": {"a4", "b3", "c2", "d1"}, "s": {"x1", "t"}, "y": {"y"}}
+def test_warc_links_are_followed_to_their_end(spark):
+    rows = [("r", "response"), ("d1", "metadata", "r"), ("c2", "metadata", "d1"), ("b3", "request", "c2"), ("a4", "metadata", "b3"), ("s", "response", "x1"), ("x1", "metadata", "gone"), ("y", "metadata", "gone"), ("t", "metadata", "s")]
+    assert linked(spark, *rows) == {"r": {"a4", "b3", "c2", "d1"}, "s": {"x1", "t"}, "y": {"y"}}
+
+
+def test_warc_nearest_response_wins(spark):
+    # a direct link beats a smaller id further away; responses pass nothing on; at equal distance the smaller id
+    assert linked(spark, ("rA", "response"), ("rB", "response", "rA"), ("qB", "request", "rB")) == {"rA": set(), "rB": {"qB"}}
+    near = [("rA", "response"), ("rB", "response"), ("q1", "request", "rA", "m"), ("q2", "request", "rB", "m"), ("m", "metadata"), ("n", "metadata", "q2")]
+    assert linked(spark, *near) == {"rA": {"q1", "m"}, "rB": {"q2", "n"}}
+    assert linked(spark, ("r", "response"), ("q", "request", "r"), ("m1", "metadata", "q"), ("m2", "metadata", "m1")) == {"r": {"q", "m1", "m2"}}
+    assert linked(spark, ("m1", "metadata", "q9"), ("q9", "request"), ("m0", "metadata", "m1"), (None, "request", "q9"), ("z", None)) == {"q9": {"q9", "m1", "m0"}, "z": {"z"}}
+
+
+def warc_record(i, block, size=None, kind="response"):
+    head = f"WARC/1.1\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <{i}>\r\nContent-Length: {len(block) if size is None else size}\r\n\r\n"
+    return head.encode() + block + b"\r\n\r\n"
+
+
+def test_warc_gzip_members_behind_damage_are_read(spark, tmp_path):
+    long = bytes(random.Random(1).randbytes(300_000)) + b"\nWARC/1.1\r\nno record\r\n\r\n"
+    a, b, c, d = (gzip.compress(warc_record(i, x)) for i, x in (("a", b"HTTP/1.1 200 OK\r\n\r\nA"), ("b", long), ("c", b"x"), ("d", b"")))
+    broken = b[:5000] + b"\xff" * 50 + b[5050:]
+    for name, data in {"whole": a + b + c, "padded": a + b + b"\0\0\0" + c, "junk": a + b + b"junk" + c, "broken": a + broken + c + d, "cut": a + c + b[:100_000]}.items():
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "x.warc.gz").write_bytes(data)
+        rows = warc.read_warc(spark, str(tmp_path / name)).collect()
+        good = {r.record_id: bytes(r.block) for r in rows if r.record_id and not r.truncated}
+        damage = [r for r in rows if r.type == "damage"]
+        want = {"a": b"HTTP/1.1 200 OK\r\n\r\nA", "b": long, "c": b"x", "d": b""}
+        lost = {"broken": {"b"}, "cut": {"b", "d"}}.get(name, {"d"})
+        assert good == {k: v for k, v in want.items() if k not in lost}
+        assert bool(damage) == (name in ("junk", "broken", "cut"))
+        assert {r.record_id for r in rows if r.truncated and r.record_id} <= lost
+    (tmp_path / "plain.warc").write_bytes(warc_record("a", long) + warc_record("b", b"abc", 10))
+    assert [(r.record_id, len(r.block), r.truncated) for r in warc.read_warc(spark, str(tmp_path / "plain.warc")).collect()] == [("a", len(long), False), ("b", 7, True)]
+    assert warc.assemble(warc.read_warc(spark, str(tmp_path / "plain.warc"))).where("truncated").count() == 1
 
 
 def test_mixing_meets_weights(spark):
