@@ -302,19 +302,64 @@ def test_nearest_of_small_tables(spark):
     assert [tuple(r) for r in hamming.nearest(two).collect()] == [(0, 3, 1, 1)]
 
 
-def test_chat_trees_share_prefixes(spark):
-    rows = [(1, 0, "user", "hi"), (1, 1, "bot", "yes"), (1, 2, "user", "ok"), (2, 0, "user", "hi"), (2, 1, "bot", "no"), (3, 0, "user", "hi"), (3, 0, "user", "hi"), (4, 0, None, None), (None, 0, "user", "x")]
-    nodes = chat.prefix_trees(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")).collect()
+TURNS = "conv_id bigint, turn bigint, role string, text string, path string, pid int, last int"
+
+
+def check_trees(spark, rows, **options):
+    """The packed trees of rows (conv_id, turn, role, text), against each conversation's own turns and a depth-first walk."""
+    nodes = chat.prefix_trees(spark.createDataFrame([(*r, "x", 1, 2) for r in rows], TURNS), **options).collect()
     enc = tokens.encoding(tokens.vocabulary_bytes())
-    assert len(nodes) == 5 and sorted(c for n in nodes for c in n.conv_ids) == [1, 2, 3, 4]
-    by = {(n.tree_id, n.start, n.end): n for n in nodes}
+    own = {}
+    for c, turn, role, text in rows:
+        if c is not None:
+            own.setdefault(c, set()).add((-1 if turn is None else turn, role or "", text or ""))
+    own = {c: [chat.render(r, t) for _, r, t in sorted(v)] for c, v in own.items()}
+    assert sorted(c for n in nodes for c in n.conv_ids) == sorted(own)
+    full = {n.node_id: n for n in nodes if n.token_ids is not None}
+    assert len(full) == sum(n.token_ids is not None for n in nodes) == len({tuple(v[: k + 1]) for v in own.values() for k in range(len(v))})
     for n in nodes:
+        path, up = [], n.node_id
+        while up:
+            path.insert(0, full[up])
+            up = full[up].parent_id
+        assert n.depth == len(path) - 1 and all(p.tree_id == n.tree_id for p in path)
+        if n.attends is not None:
+            assert [(a.start, a.end) for a in n.attends] == [(p.start, p.end) for p in path[:-1]]
         for c in n.conv_ids:
-            path = [by[n.tree_id, a.start, a.end] for a in n.attends] + [n]
-            want = [t for r in sorted(set(x for x in rows if x[0] == c)) for t in enc.encode_ordinary(chat.render(r[2] or "", r[3] or ""))]
-            assert [t for p in path for t in p.token_ids] == want
-            assert [x for p in path for x in p.position_ids] == list(range(len(want)))
-    assert chat.prefix_trees(spark.createDataFrame([], "conv_id bigint, turn bigint, role string, text string")).count() == 0
+            want = [enc.encode_ordinary(t) for t in own[c]]
+            assert [p.token_ids for p in path] == want
+            assert [x for p in path for x in p.position_ids] == list(range(sum(map(len, want))))
+    children = {}
+    for n in full.values():
+        children.setdefault(n.parent_id, []).append(n)
+    for root in children.get(None, []):
+        at = place = 0
+        todo = [root]
+        while todo:
+            n = todo.pop()
+            assert (n.start, n.end, n.place) == (at, at + len(n.token_ids), place)
+            at, place = n.end, place + 1
+            todo += sorted(children.get(n.node_id, []), key=lambda x: x.node_id, reverse=True)
+    return nodes
+
+
+def test_chat_trees_share_prefixes(spark):
+    rows = [(1, 0, "user", "hi"), (1, 1, "bot", "yes"), (1, 2, "user", "ok"), (2, 0, "user", "hi"), (2, 1, "bot", "no"), (3, 0, "user", "hi"), (3, 0, "user", "hi"), (4, 0, None, None), (None, 0, "user", "x"), (5, None, "a", ""), (5, 1, "a", words(30_000, 3))]
+    assert len(check_trees(spark, rows)) == 7
+    assert chat.prefix_trees(spark.createDataFrame([], TURNS)).count() == 0
+
+
+@pytest.mark.parametrize("partitions", [1, 7, 40])
+def test_one_tree_over_many_partitions(spark, monkeypatch, partitions):
+    """All conversations begin with one system prompt, and a third of them are equal."""
+    monkeypatch.setattr(chat, "CONVERSATIONS_A_ROW", 10)
+    r = random.Random(partitions)
+    rows = []
+    for c in range(120):
+        said = ["same", "and same"] if c % 3 == 0 else [r.choice("abc") for _ in range(r.randint(0, 6))]
+        rows += [(c, k, "user" if k % 2 else "system", t) for k, t in enumerate(["Be brief.", *said])]
+    nodes = check_trees(spark, rows, partitions=partitions)
+    assert len({n.tree_id for n in nodes}) == 1 and max(len(n.conv_ids) for n in nodes) <= 10
 
 
 def test_warc_links_and_damage(spark):
