@@ -16,16 +16,18 @@ from __future__ import annotations
 
 import json
 import struct
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import bound_batches
+from .scratch import bound_batches, stored
 from .tokens import VOCABULARY, encoding, vocabulary_bytes
 
 MAGIC = b"WVMX0001"
@@ -33,6 +35,8 @@ MAGIC = b"WVMX0001"
 SHARD_TOKENS = 4_000_000
 BLOCK_BITS = 1 << 18
 LEVEL = 3
+#: Expanded blocks (about 300 kB each) that a reader keeps.
+CACHED_BLOCKS = 256
 
 
 def pack(tokens: np.ndarray, doc_ids: Sequence[int | None], offsets: np.ndarray, bits: int) -> bytes:
@@ -62,35 +66,51 @@ def pack(tokens: np.ndarray, doc_ids: Sequence[int | None], offsets: np.ndarray,
 
 
 class WaveletShard:
-    """Reads a shard's file without expanding the sequence."""
+    """Reads a shard's file without expanding the sequence.
 
-    def __init__(self, data: bytes):
-        if data[: len(MAGIC)] != MAGIC:
+    ``data`` is the file's bytes, or a function from an offset and a length to the bytes
+    there (see :meth:`open`), so that a lookup reads the blocks it needs and no more.
+    """
+
+    def __init__(self, data: bytes | Callable[[int, int], bytes]):
+        self._read = data if callable(data) else lambda at, n: data[at : at + n]
+        fixed = len(MAGIC) + 4
+        start = self._read(0, fixed)
+        if start[: len(MAGIC)] != MAGIC:
             raise ValueError("not a wavelet shard")
-        size = struct.unpack_from("<I", data, len(MAGIC))[0]
-        at = len(MAGIC) + 4
-        head = json.loads(data[at : at + size])
-        at += size
+        size = struct.unpack_from("<I", start, len(MAGIC))[0]
+        head = json.loads(self._read(fixed, size))
+        at = fixed + size
         self._expand = zstandard.ZstdDecompressor().decompress
         tables = []
         for n, kind in zip(head["tables"], (np.int64, np.uint8, *[np.int64] * 4)):
-            tables.append(np.frombuffer(self._expand(data[at : at + n]), kind))
+            tables.append(np.frombuffer(self._expand(self._read(at, n)), kind))
             at += n
         ids, null, self.offsets, self.zeros, self._ones, sizes = tables
         self.doc_ids = [None if x else i for i, x in zip(ids.tolist(), null.tolist())]
         self.n_tokens, self.bits, self._block_bits = head["tokens"], head["bits"], head["block_bits"]
         self._blocks = -(-self.n_tokens // self._block_bits)
         self._at = at + np.concatenate([np.zeros(1, np.int64), np.cumsum(sizes)])
-        self._data = data
-        self._cache: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        self._block = lru_cache(maxsize=CACHED_BLOCKS)(self._load)
+
+    @classmethod
+    def open(cls, path: str) -> WaveletShard:
+        """A shard's file in any file system that Arrow knows (a local path, ``hdfs:``, ``s3:``, ``gs:``)."""
+        system, inner = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+        file = system.open_input_file(inner)
+
+        def read(at: int, n: int) -> bytes:
+            return file.read_at(n, int(at))
 
-    def _block(self, level: int, b: int) -> tuple[np.ndarray, np.ndarray]:
+        return cls(read)
+
+    def _raw(self, k: int) -> np.ndarray:
+        return np.frombuffer(self._expand(self._read(int(self._at[k]), int(self._at[k + 1] - self._at[k]))), np.uint8)
+
+    def _load(self, level: int, b: int) -> tuple[np.ndarray, np.ndarray]:
         """A block's bytes, and the ones ahead of each byte within it."""
-        k = level * self._blocks + b
-        if k not in self._cache:
-            raw = np.frombuffer(self._expand(self._data[self._at[k] : self._at[k + 1]]), np.uint8)
-            self._cache[k] = raw, np.concatenate([np.zeros(1, np.int64), np.cumsum(np.bitwise_count(raw), dtype=np.int64)])
-        return self._cache[k]
+        raw = self._raw(level * self._blocks + b)
+        return raw, np.concatenate([np.zeros(1, np.int64), np.cumsum(np.bitwise_count(raw), dtype=np.int64)])
 
     def _bit(self, level: int, i: int) -> int:
         raw, _ = self._block(level, i // self._block_bits)
@@ -162,8 +182,8 @@ class WaveletShard:
         out = np.zeros(self.n_tokens, np.uint32)
         to = np.arange(self.n_tokens)
         for level in range(self.bits):
-            raw = [self._expand(self._data[self._at[k] : self._at[k + 1]]) for k in range(level * self._blocks, (level + 1) * self._blocks)]
-            bit = np.unpackbits(np.frombuffer(b"".join(raw), np.uint8), count=self.n_tokens).astype(bool)
+            raw = [self._raw(k) for k in range(level * self._blocks, (level + 1) * self._blocks)]
+            bit = np.unpackbits(np.concatenate(raw) if raw else np.zeros(0, np.uint8), count=self.n_tokens).astype(bool)
             out[to] |= bit.astype(np.uint32) << np.uint32(self.bits - 1 - level)
             to = np.concatenate([to[~bit], to[bit]])
         return out
@@ -224,3 +244,31 @@ def wavelet_shards(docs: DataFrame, vocabulary: str = VOCABULARY, shard_tokens:
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(
         run, "shard_id bigint, doc_ids array<bigint>, n_docs bigint, n_tokens bigint, n_bytes bigint, data binary"
     )
+
+
+def write_shards(shards: DataFrame, folder: str) -> DataFrame:
+    """Writes each row of :func:`wavelet_shards` as one file of ``folder``: ``(shard_id, path, n_docs, n_tokens, n_bytes)``, stored.
+
+    ``folder`` is shared by all executors, in a file system that Arrow knows.  A file is
+    named by its shard, written under another name and then renamed, so tasks that run
+    again or twice leave whole files, and the same ones.
+    """
+    folder = folder.rstrip("/")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, root = fs.FileSystem.from_uri(folder) if ":" in folder else (fs.LocalFileSystem(), folder)
+        system.create_dir(root, recursive=True)
+        for batch in batches:
+            names = [f"shard-{i:016x}.wvm" for i in batch.column(0).to_pylist()]
+            for name, data in zip(names, batch.column(4)):
+                part = f"{root}/.{name}.{TaskContext.get().taskAttemptId()}"
+                with system.open_output_stream(part) as out:
+                    out.write(data.as_buffer())
+                system.move(part, f"{root}/{name}")
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([f"{folder}/{n}" for n in names], pa.string()), *(batch.column(k) for k in (1, 2, 3))],
+                names=["shard_id", "path", "n_docs", "n_tokens", "n_bytes"],
+            )
+
+    listed = shards.select("shard_id", "n_docs", "n_tokens", "n_bytes", "data").mapInArrow(run, "shard_id bigint, path string, n_docs bigint, n_tokens bigint, n_bytes bigint")
+    return stored(listed, "files")

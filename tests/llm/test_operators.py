@@ -272,6 +272,39 @@ def test_wavelet_shard_access_count_locate(spark):
             assert shard.document(k) == enc.encode_ordinary(texts[i])
 
 
+@pytest.mark.parametrize("scheme", ["", "file://"])
+def test_wavelet_files_are_read_in_part(spark, tmp_path, scheme):
+    docs = table(spark, [(i, words(4000, i) + " the end") for i in range(40)])
+    shards = wavelet.wavelet_shards(docs.coalesce(2), shard_tokens=400_000)
+    files = wavelet.write_shards(shards, f"{scheme}{tmp_path}/shards/").collect()
+    wavelet.write_shards(shards, f"{scheme}{tmp_path}/shards")  # again, onto the same files
+    assert sorted(p.name for p in (tmp_path / "shards").iterdir()) == sorted(f.path.split("/")[-1] for f in files) and len(files) >= 2
+    whole = {r.shard_id: bytes(r.data) for r in shards.collect()}
+    for f in files:
+        local = f.path.removeprefix("file://")
+        with open(local, "rb") as file:
+            data = file.read()
+        assert data == whole[f.shard_id] and len(data) == f.n_bytes
+        opened, flat = wavelet.WaveletShard.open(f.path), wavelet.WaveletShard(data).tokens()
+        at = np.flatnonzero(flat == flat[len(flat) // 2])
+        assert len(flat) == f.n_tokens and opened.access(0) == flat[0]
+        assert opened.count(int(flat[at[0]])) == len(at) and opened.locate(int(flat[at[0]]), len(at) - 1) == at[-1]
+
+
+def test_a_lookup_reads_a_small_part_of_a_file():
+    flat = np.random.default_rng(1).integers(0, 50_000, 3_000_000)
+    data, read = wavelet.pack(flat, [1, 2], np.array([0, 5, len(flat)]), 16), []
+
+    def part(at, n):
+        read.append(n)
+        return data[at : at + n]
+
+    shard = wavelet.WaveletShard(part)
+    assert [shard.access(i) for i in (0, 1_234_567)] == flat[[0, 1_234_567]].tolist() and sum(read) < 0.25 * len(data)
+    where = np.flatnonzero(flat == flat[9])
+    assert shard.count(int(flat[9])) == len(where) and shard.locate(int(flat[9]), 3) == where[3] and sum(read) < 0.5 * len(data)
+
+
 @pytest.mark.parametrize("bits", [7, 64, 100])
 @pytest.mark.parametrize("blocks", [(25, 16), (1000, 1000)])
 def test_nearest_codes_are_exact(spark, bits, blocks):
