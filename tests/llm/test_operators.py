@@ -491,3 +491,88 @@ def test_pipeline_against_its_stages_by_hand(spark):
     shards = corpus_pipeline.token_shards(spark, mixed, SF).collect()
     assert sorted(i for s in shards for i in s.doc_ids) == sorted(r.doc_id for r in plan)
     assert json.loads(json.dumps([n for n, _ in corpus_pipeline.STAGES])) == ["language_id", "ngram_jaccard_join", "benchmark_decontamination", "mixing", "token_shards"]
+
+
+REMOVERS = {"units": substrings.remove_repeats, "passages": passages.remove_passages, "templates": templates.drop_recurring_lines}
+
+
+def lines_of_all_kinds():
+    shared, other = words(9, 61), words(8, 62)
+    texts = [(i, f"{words(7, 300 + i)}\n{shared}\n\n{words(6, 400 + i)}. {other}. {words(5, 500 + i)}\n{shared}") for i in range(1, 9)]
+    return [(None, texts[0][1]), (0, None), (0, ""), (-1, "\n\n"), *texts, texts[2], (3, "another text of three\n" + shared), (20, words(60_000, 63) + "\n" + shared)]
+
+
+@pytest.mark.parametrize("name", sorted(REMOVERS))
+def test_removal_keeps_offsets_and_rows(spark, name, monkeypatch):
+    texts = lines_of_all_kinds()
+    docs = table(spark, texts)
+    rows = REMOVERS[name](docs).collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in rows) == sorted((i is None, i or 0) for i, _ in texts)
+    by = {}
+    for r in rows:
+        by.setdefault(r.doc_id, []).append(r)
+    assert [(r.text, r.removed) for r in by[None]] == [(texts[0][1], [])]
+    assert sorted((r.text is None, r.text or "", len(r.removed)) for r in by[0]) == [(False, "", 0), (True, "", 0)]
+    assert len(by[3]) == 3 and len({(r.text, str(r.removed)) for r in by[3]}) == 2  # repeated rows are treated alike
+    original = {}
+    for i, t in texts:
+        original.setdefault(i, []).append(t)
+    cut = 0
+    for r in rows:
+        if not r.removed:
+            assert r.text in original[r.doc_id]
+            continue
+        spans = [(x.start, x.end) for x in r.removed]
+        assert spans == sorted(spans) and all(a < b for a, b in spans) and all(b <= c for (_, b), (c, _) in zip(spans, spans[1:]))
+        cut += len(spans)
+
+        def left(t):
+            parts = [t[a:b] for a, b in zip([0, *(b for _, b in spans)], [*(a for a, _ in spans), len(t)])]
+            return "".join(parts) if name != "templates" else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in {t[:a].count("\n") for a, _ in spans})
+
+        assert r.text in [left(t) for t in original[r.doc_id]]
+        if name == "templates":  # whole lines
+            assert any(all((t[:a] + "\n")[a - 1 if a else a] == "\n" and (t + "\n")[b] == "\n" for a, b in spans) for t in original[r.doc_id])
+    assert cut >= 9
+    monkeypatch.setattr({"units": substrings, "passages": passages, "templates": templates}[name], "BROADCAST_ROWS", -1)
+    key = lambda found: sorted(map(repr, found))
+    assert key(REMOVERS[name](docs).collect()) == key(rows)  # by a shuffle, as by a broadcast
+
+
+def test_dedup_and_join_by_shuffles(spark, monkeypatch):
+    texts = near_copies()
+    docs = table(spark, texts)
+    want = sorted(ngram_join.jaccard_join(docs).collect()), sorted(r.doc_id for r in ngram_join.deduplicate(docs).collect())
+    monkeypatch.setattr(ngram_join, "small_enough", lambda df, rows=0: df)
+    assert (sorted(ngram_join.jaccard_join(docs).collect()), sorted(r.doc_id for r in ngram_join.deduplicate(docs).collect())) == want
+
+
+def test_items_in_several_passes(spark):
+    items = [(i, words(20, 600 + i)) for i in range(9)]
+    docs = table(spark, [(i, f"{words(50, i)} {t}") for i, t in items])
+    want = sorted(decontaminate.find_items(docs, spark.createDataFrame(items, "item_id bigint, text string")).collect())
+    assert sorted(decontaminate.find_items(docs, spark.createDataFrame(items, "item_id bigint, text string"), items_a_pass=4).collect()) == want and len(want) == 9
+
+
+def test_mixing_of_awkward_rows(spark):
+    docs = table(spark, AWKWARD)
+    plan = mixing.mix(docs, budget_percent=50).collect()
+    n = {None: 6, 4: 1, 5: 60, 6: 60}
+    for r in plan:
+        assert 0 <= r.taken <= r.n_tokens and (r.taken or not r.n_tokens) and (r.doc_id not in n or r.n_tokens == n[r.doc_id])
+    total = sum(len((t or "").split()) for _, t in AWKWARD)
+    assert abs(sum(r.taken for r in plan) - total / 2) <= 5
+    assert mixing.mix(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("empty", [False, True])
+def test_the_whole_pipeline_on_awkward_tables(spark, tmp_path, empty):
+    source = spark.read.parquet(f"{SF}/documents.parquet")
+    docs = source.unionByName(table(spark, AWKWARD).select(*source.columns))
+    docs = docs.limit(0) if empty else docs
+    docs.withColumn("tie", docs["doc_id"]).withColumn("cls", docs["text"]).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.read.parquet(f"{SF}/benchmark.parquet").write.parquet(str(tmp_path / "benchmark.parquet"))
+    shards = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    ids = [i for s in shards for i in s.doc_ids]
+    assert (not ids) if empty else (100 < len(ids) and {i for i in ids if i is not None} <= {r.doc_id for r in docs.collect()})
+    assert all(wavelet.WaveletShard(bytes(s.data)).n_tokens == s.n_tokens for s in shards)
