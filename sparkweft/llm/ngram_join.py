@@ -6,7 +6,7 @@ The join links documents whose sets have a Jaccard similarity of at least
 
 1.  One pass over the texts makes MinHash values.  Documents with the same set
     form a class, and only classes are compared.
-2.  Rows ``(band key, class, values)`` are shuffled by band key.  Two classes in
+2.  Rows ``(band key, class, values)`` of buckets with more than one class are shuffled by band key.  Two classes in
     one bucket are a candidate; it is taken up only in the first band the two
     share, so no pair appears twice and no ``distinct`` is needed.  Buckets of
     more than ``BUCKET_ROWS`` classes are cut into parts, and each pair of parts
@@ -24,8 +24,8 @@ The join links documents whose sets have a Jaccard similarity of at least
 proportion to the rows of buckets: members of a large bucket are first compared
 with its smallest class alone, and then with those that this left in other groups.
 
-Steps 2 and 3 move about 130 bytes a band row and never text; step 4 reads the
-texts of classes that have a candidate.
+Steps 2 and 3 move 8 bytes a band, about 130 bytes for each class of a bucket that has
+more than one, and never text; step 4 reads the texts of classes that have a candidate.
 """
 
 from __future__ import annotations
@@ -362,7 +362,12 @@ def _verifier(n: int, threshold: float, sums: bool):
 
 
 class _Signed:
-    """What one pass over the texts leaves, stored: ``members`` (doc_id, tie, cls) and ``classes`` (cls, doc_id, tie, size, bands, payload)."""
+    """What one pass over the texts leaves, stored.
+
+    ``members`` (doc_id, tie, cls), ``classes`` (cls, doc_id, tie, size, bands, payload), and ``in_buckets``
+    (key, n, cls, band): the classes of each bucket that has more than one, and how many it has.  Most
+    buckets have one, so payloads are shuffled for the others only.
+    """
 
     def __init__(self, docs: DataFrame, n: int, bands: int, rows: int, compared: int):
         bound_batches(docs.sparkSession)
@@ -377,11 +382,12 @@ class _Signed:
         )
         self.classes = stored(one.join(sizes, "cls").select("cls", "least.*", "size", "bands", "payload"), "classes")
 
-    def keys(self) -> DataFrame:
-        return self.classes.select(F.explode("bands").alias("key")).groupBy("key").agg(F.count("*").alias("n"))
+        bands_of = self.classes.select("cls", F.posexplode("bands").alias("band", "key"))
+        shared = stored(bands_of.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "shared")
+        self.in_buckets = stored(bands_of.join(small_enough(shared), "key").select("key", "n", "cls", "band"), "buckets")
 
-    def rows(self, *more: str) -> DataFrame:
-        return self.classes.select("cls", "payload", *more, F.posexplode("bands").alias("band", "key"))
+    def with_payload(self, rows: DataFrame) -> DataFrame:
+        return rows.join(self.classes.select("cls", "payload"), "cls")
 
 
 def _parts(n: Column) -> Column:
@@ -414,10 +420,9 @@ def _tile_pairs(rows: DataFrame, pruning: _Pruning) -> DataFrame:
 
 def _candidates(signed: _Signed, pruning: _Pruning) -> DataFrame:
     """All pairs of classes that share a bucket and survive pruning, once each; stored."""
-    large = stored(signed.keys().where(F.col("n") > BUCKET_ROWS).select("key", _parts(F.col("n")).alias("parts")), "large")
-    rows = signed.rows().join(small_enough(large), "key", "left")
+    rows = signed.with_payload(signed.in_buckets).withColumn("parts", _parts(F.col("n")))
     whole = F.array(_tile(F.lit(0), F.lit(0), F.lit(-1)))
-    tiles = F.when(F.col("parts").isNull(), whole).otherwise(_square(_part_of(F.col("parts")), F.col("parts"), F.lit(0)))
+    tiles = F.when(F.col("parts") == 1, whole).otherwise(_square(_part_of(F.col("parts")), F.col("parts"), F.lit(0)))
     tiled = rows.select("key", F.explode(tiles).alias("tile"), F.col("cls").alias("comp"), "cls", "band", "payload")
     return stored(_tile_pairs(tiled, pruning), "candidates")
 
@@ -535,34 +540,31 @@ def groups(pairs: DataFrame) -> DataFrame:
     return found.unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("group_id")).distinct())
 
 
-def _star_candidates(signed: _Signed, big: DataFrame, pruning: _Pruning) -> DataFrame:
+def _star_candidates(signed: _Signed, pruning: _Pruning) -> DataFrame:
     """Candidates that connect each bucket's members with its smallest class; of small buckets all pairs.  Stored."""
-    large = small_enough(stored(big.where(F.col("n") > BUCKET_ROWS).select("key"), "large"))
-    rows = signed.rows()
-    lead = rows.join(large, "key").groupBy("key").agg(F.min(F.struct("cls", "payload")).alias("lead"))
-    led = rows.join(small_enough(stored(lead, "leaders")), "key").select("cls", "payload", F.col("lead.cls").alias("lead"), F.col("lead.payload").alias("lead_payload"))
-    plain = rows.join(large, "key", "left_anti").select("key", "cls", "band", "payload")
+    rows = signed.with_payload(signed.in_buckets)
+    large = rows.where(F.col("n") > BUCKET_ROWS)
+    lead = stored(large.groupBy("key").agg(F.min(F.struct("cls", "payload")).alias("lead")), "leaders")
+    led = large.join(small_enough(lead), "key").select("cls", "payload", F.col("lead.cls").alias("lead"), F.col("lead.payload").alias("lead_payload"))
+    plain = rows.where(F.col("n") <= BUCKET_ROWS).select("key", "cls", "band", "payload")
     pairs = plain.repartition("key").sortWithinPartitions("key", "cls").mapInArrow(_star_pairer(pruning, FEW), "a bigint, b bigint")
     return stored(pairs.unionByName(led.mapInArrow(_leader_pairer(pruning), "a bigint, b bigint")).distinct(), "candidates")
 
 
-def _across_candidates(signed: _Signed, big: DataFrame, comp: DataFrame, pruning: _Pruning) -> DataFrame:
-    """Candidates among the members of ``big`` buckets that are in different components.  Stored.
+def _across_candidates(signed: _Signed, comp: DataFrame, pruning: _Pruning) -> DataFrame:
+    """Candidates among the members of buckets of more than ``FEW`` that are in different components.  Stored.
 
     In a bucket that is cut into parts, the component of the smallest class is not compared with itself,
     so its parts are repeated for those of the other members only.
     """
-    member = signed.classes.select("cls", "payload", "bands").join(comp, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-    rows = member.select("cls", "comp", "payload", F.posexplode("bands").alias("band", "key"))
-    big = small_enough(big)
-    mixed = rows.select("key", "cls", "comp").join(big, "key").groupBy("key", "n").agg(
-        F.min(F.struct("cls", "comp")).alias("lead"), F.min("comp").alias("lo"), F.max("comp").alias("hi")
-    )
-    mixed = stored(mixed.where("lo <> hi").select("key", "n", F.col("lead.comp").alias("lead")), "mixed")
-    large = small_enough(stored(mixed.where(F.col("n") > BUCKET_ROWS), "large"))
-    others = rows.select("key", "comp").join(large, "key").groupBy("key").agg(F.count_if(F.col("comp") != F.col("lead")).alias("others"))
-    sized = small_enough(stored(mixed.join(others, "key", "left"), "mixed"))
-    own, few = F.greatest(_parts(F.col("n") - F.col("others")), F.lit(1)), F.greatest(_parts(F.col("others")), F.lit(1))
+    rows = signed.in_buckets.where(F.col("n") > FEW).join(comp, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+    rows = stored(rows, "members")
+    mixed = rows.groupBy("key").agg(F.min(F.struct("cls", "comp")).alias("lead"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    mixed = stored(mixed.where("lo <> hi").select("key", F.col("lead.comp").alias("lead")), "mixed")
+    in_mixed = rows.join(small_enough(mixed), "key")
+    others = in_mixed.where(F.col("n") > BUCKET_ROWS).groupBy("key").agg(F.count_if(F.col("comp") != F.col("lead")).alias("others"))
+    cut = in_mixed.join(small_enough(stored(others, "others")), "key", "left")
+    cut = cut.withColumns({"own": F.greatest(_parts(F.col("n") - F.col("others")), F.lit(1)), "few": F.greatest(_parts(F.col("others")), F.lit(1))})
     at_own, at_few = _part_of(F.col("own")), _part_of(F.col("few"))
     inside = F.transform(F.sequence(F.lit(0), F.col("few") - 1), lambda b: _tile(at_own, F.col("own") + b, F.lit(0)))
     outside = F.concat(
@@ -570,8 +572,8 @@ def _across_candidates(signed: _Signed, big: DataFrame, comp: DataFrame, pruning
     )
     whole = F.array(_tile(F.lit(0), F.lit(0), F.lit(-1)))
     tiles = F.when(F.col("others").isNull(), whole).when(F.col("comp") == F.col("lead"), inside).otherwise(outside)
-    cut = rows.join(sized, "key").withColumns({"own": own, "few": few})
-    return stored(_tile_pairs(cut.select("key", F.explode(tiles).alias("tile"), "comp", "cls", "band", "payload"), pruning), "across")
+    tiled = signed.with_payload(cut).select("key", F.explode(tiles).alias("tile"), "comp", "cls", "band", "payload")
+    return stored(_tile_pairs(tiled, pruning), "across")
 
 
 def deduplicate(
@@ -591,10 +593,9 @@ def deduplicate(
     unchanged; rows of one id and different texts are judged one by one.
     """
     signed, pruning = _Signed(docs, n, bands, rows, compared), _Pruning(bands, compared, threshold, tolerance)
-    big = stored(signed.keys().where(F.col("n") > FEW), "big")
-    edges = stored(_verified(signed, _star_candidates(signed, big, pruning), n, threshold, tile_docs, sums=True).select("a", "b"), "edges")
+    edges = stored(_verified(signed, _star_candidates(signed, pruning), n, threshold, tile_docs, sums=True).select("a", "b"), "edges")
     part = stored(groups(edges).select(F.col("id").alias("cls"), F.col("group_id").alias("comp")), "parts")
-    across = _across_candidates(signed, big, part, pruning)
+    across = _across_candidates(signed, part, pruning)
     if not across.isEmpty():
         more = stored(_verified(signed, across, n, threshold, tile_docs, sums=True).select("a", "b"), "edges")
         if not more.isEmpty():
