@@ -1 +1,22 @@
-"""sparkweft: web-data extraction, crawling and analytics on Spark DataFrames."""
+"""Web-data extraction, crawling and page analytics on Spark.
+
+All names for everyday use; the modules have the rest.
+"""
+
+from .functions.jsonpath import InvalidJson, InvalidPath, json_body, json_field, jsonpath_all
+from .functions.patterns import re_all, re_first
+from .functions.policy import AutoThrottle, RetryPolicy, StatusRules, default_headers, rate_limited, resolve_attempts, rotated
+from .functions.response import CssExtractor, Element, ElementList, JsonPathExtractor, RegexExtractor, Response
+from .functions.robots import robots_allowed
+from .functions.sitemap import entries, read_sitemap, sitemap_url
+from .functions.urls import http_host, in_domain, url_join, without_fragment
+from .operators.extract import Count, Css, ExtractPlan, ExtractSpec, Field, Links, Rows, XPath, extract_rows
+from .operators.items import DropDuplicates, FilterItems, MapItems, RequireFields, run_pipeline
+from .operators.links import LinkExtractor
+from .operators.model_extract import FakeClient, ModelClient, ModelError, TokenUsage, extract_rows_with_fallback, model_extract, total_usage
+from .plans.crawl import ABORT, ERROR_KINDS, SKIP, Crawl, CrawlAborted, CrawlStats, DeclarativeSpider, ErrorPolicy, Middleware, Output, SitemapSpider, Spider, retry
+from .sources.pages import AttemptSource, CachingSource, CorpusSource, MockSource, PageSource, read_files, responses
+from .sources.stores import ConsoleStore, CsvStore, JdbcStore, JsonlStore, JsonStore, ObjectStore, SqliteStore, Store, StoreError
+from .streaming.items import into, item_stream, page_stream, running_counts
+
+__all__ = [n for n in dir() if not n.startswith("_") and n not in ("functions", "operators", "plans", "sources", "streaming")]

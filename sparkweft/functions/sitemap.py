@@ -1,7 +1,9 @@
-"""Sitemaps and the sitemap lines of robots files, all by Catalyst expressions."""
+"""Sitemaps and the sitemap lines of robots files: Catalyst expressions, and one page at a time for spiders."""
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,7 +34,7 @@ def robots_sitemaps(body: Column) -> Column:
 
 
 def _part(block: Column, tag: str) -> Column:
-    return F.nullif(F.trim(F.regexp_extract(block, rf"<{tag}>\s*([^<]*?)\s*</{tag}>", 1)), F.lit(""))
+    return F.nullif(F.regexp_extract(block, rf"<{tag}>\s*([^\s<]+)\s*</{tag}>", 1), F.lit(""))
 
 
 def urlset_entries(body: Column) -> Column:
@@ -67,3 +69,24 @@ def entries(bodies: DataFrame, body: str = "body", keep: tuple[str, ...] = ()) -
     """A row for each entry of each urlset: ``keep``, ``pos`` and the entry's fields."""
     plain = F.when(~is_robots(F.col(body)), urlset_entries(F.col(body)))
     return bodies.select(*keep, F.posexplode(plain).alias("pos", "_e")).select(*keep, "pos", "_e.*")
+
+
+def read_sitemap(body: str | None) -> tuple[list[dict], list[str]]:
+    """The entries of a urlset, and the sitemaps that a robots file or an index names, of one page; see :func:`follows`."""
+    body = body or ""
+    if re.search(r"(?m)^(User-agent:|Sitemap:)", body):
+        return [], re.findall(r"(?m)^[ \t]*[Ss]itemap:[ \t]*(\S+)", body)
+    if "<sitemapindex" in body:
+        return [], re.findall(_ADDRESS, body)
+    entries = []
+    for block in re.findall(r"(?s)<url>(.*?)</url>", body):
+        loc = re.search(_ADDRESS, block)
+        if loc:
+            parts = {tag: re.search(rf"<{tag}>\s*([^\s<]+)\s*</{tag}>", block) for tag in ("lastmod", "changefreq", "priority")}
+            entry = {"loc": loc[1]} | {tag: m[1] if m else None for tag, m in parts.items()}
+            try:
+                entry["priority"] = None if entry["priority"] is None else float(entry["priority"])
+            except ValueError:
+                entry["priority"] = None
+            entries.append(entry)
+    return entries, []

@@ -7,25 +7,28 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.jsonpath import json_field, jsonpath_all
+from ..functions.jsonpath import json_body, json_field, jsonpath_all
 from ..functions.patterns import re_all, re_first
 from ..functions.policy import AutoThrottle, RetryPolicy, StatusRules, default_headers, rate_limited, resolve_attempts, rotated
 from ..functions.prompts import strip_scripts_and_styles, user_prompt
+from ..functions.response import CssExtractor, JsonPathExtractor, RegexExtractor, Response
 from ..functions.robots import origin, robots_allowed
 from ..functions.sitemap import entries, follows
 from ..functions.urls import http_host, in_domain, url_join, without_fragment
 from ..operators.extract import Count, Css, ExtractPlan, ExtractSpec, Field, XPath, extract_rows
-from ..operators.frontier import fresh, forced, in_domains, within_depth
+from ..operators.frontier import approximately_fresh, forced, fresh, in_domains, within_depth
 from ..operators.items import DropDuplicates, FilterItems, RequireFields, field_text, run_pipeline
 from ..operators.links import LinkExtractor
-from ..operators.model_extract import FakeClient, TokenUsage, model_extract, total_usage
-from ..sources.pages import CorpusSource, fresh as still_fresh, is_text, responses
+from ..operators.model_extract import FakeClient, TokenUsage, extract_rows_with_fallback, model_extract, total_usage
+from ..sources.pages import CachingSource, CorpusSource, MockSource, is_text, read_files, responses
 from ..sources.staging import staging_dir, written
-from ..sources.stores import csv_row, promoted
-from .crawl import Crawl, DeclarativeSpider, Output, Spider, crawl_stats
+from ..sources.stores import CsvStore, JsonlStore, ObjectStore, csv_row, promoted
+from ..streaming.items import into, item_stream, page_stream, running_counts
+from .crawl import Crawl, DeclarativeSpider, Middleware, Output, SitemapSpider, Spider, crawl_stats, retry
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -171,10 +174,9 @@ def strip_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT page_id, length('Read: ' || html || '!')::BIGINT AS n, md5('Read: ' || html || '!') AS digest FROM pages""")
+SELECT page_id, 'Read: ' || html || '!' AS prompt FROM pages""")
 def user_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = user_prompt(F.col("html"), "Read: {html}!")
-    return table(spark, sf_dir, "pages").select("page_id", F.length(p).cast("bigint").alias("n"), F.md5(p).alias("digest"))
+    return table(spark, sf_dir, "pages").select("page_id", user_prompt(F.col("html"), "Read: {html}!").alias("prompt"))
 
 
 @query("SELECT (7 * count(*))::BIGINT AS prompt_tokens, (2 * count(*))::BIGINT AS completion_tokens, (9 * count(*))::BIGINT AS total_tokens, 0::BIGINT AS cache_read_tokens, 0::BIGINT AS cache_write_tokens FROM pages")
@@ -213,7 +215,25 @@ _link_query("link_default", LinkExtractor())
 _link_query("link_allow", LinkExtractor().allow("/[aeiou]", r"\.example\.org/"), r"regexp_matches(link, '/[aeiou]') OR regexp_matches(link, '\.example\.org/')")
 _link_query("link_deny", LinkExtractor().deny("/[A-Z]"), "NOT regexp_matches(link, '/[A-Z]')")
 _link_query("link_domains", LinkExtractor().allow_domains("example.com", "example.org").deny_domains("m.example.com"), "(host = 'example.com' OR host LIKE '%.example.com' OR host = 'example.org' OR host LIKE '%.example.org') AND NOT (host = 'm.example.com' OR host LIKE '%.m.example.com')")
-_link_query("link_canonical", LinkExtractor().canonicalize().restrict_css("nav").tags("a").attrs("data-href", "href"))
+
+
+@query(_DISTINCT_LINKS)
+def link_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages whose links have fragments and are doubled in another attribute, with more links outside ``nav`` and of another tag."""
+    html = F.regexp_replace("html", '<a href="([^"]*)">', '<a title="x" data-href="$1#one" href="$1#two">')
+    html = F.regexp_replace(html, "</nav>", '<area href="/area"></nav><p><a href="/outside">o</a>')
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", html.alias("html"))
+    extractor = LinkExtractor().canonicalize().restrict_css("nav").tags("a").attrs("data-href", "href")
+    return pages.select("page_id", F.posexplode(extractor.column(F.col("html"), F.col("url"))).alias("pos", "link"))
+
+
+@query("SELECT page_id, pos::INT AS pos, link FROM pages, (VALUES (0, 'mailto:a@b.org'), (1, 'javascript:void(0)')) v(pos, link)")
+def link_schemes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of any scheme are kept, unless a rule denies them."""
+    html = F.concat(F.lit('<a href="mailto:a@b.org">m</a><a href="javascript:void(0)">j</a><a href="tel:1">t</a>'), F.regexp_replace("html", "<a [^>]*>", "<a>"))
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", html.alias("html"))
+    return pages.select("page_id", F.posexplode(LinkExtractor().deny("^tel:").column(F.col("html"), F.col("url"))).alias("pos", "link"))
+
 
 
 @query(f"""
@@ -257,27 +277,7 @@ def _crawl_of_pages(spark: SparkSession, sf_dir: str, max_depth: int = 1) -> Dat
     pages = table(spark, sf_dir, "pages")
     spider = _Pages()
     spider.max_depth = max_depth
-    crawl = SeededCrawl(spark, CorpusSource(responses(pages)), seeds=pages.select("url"))
-    return crawl.pages(spider)
-
-
-class SeededCrawl(Crawl):
-    """A crawl whose seeds are a table, of any size, instead of a list."""
-
-    def __init__(self, spark: SparkSession, source, seeds: DataFrame, **options):
-        super().__init__(spark, source, **options)
-        object.__setattr__(self, "seeds", seeds)
-
-    def pages(self, spider: Spider) -> DataFrame:
-        root = self.state or staging_dir(self.spark, "crawl")
-        start = self.seeds.select(F.lit(spider.name).alias("spider"), "url", F.lit(0).alias("depth"), F.lit(0).alias("retry"))
-        fresh(start, None).write.parquet(f"{root}/frontier/000000")
-        object.__setattr__(self, "state", root)
-        levels = list(self.levels([spider]))
-        out = levels[0].withColumn("level", F.lit(0))
-        for k, level in enumerate(levels[1:], 1):
-            out = out.unionByName(level.withColumn("level", F.lit(k)))
-        return out
+    return Crawl(spark, CorpusSource(responses(pages))).seeded(pages.select("url")).pages([spider])
 
 
 _CRAWLED = f"""
@@ -330,26 +330,76 @@ BOOK = ExtractSpec(
 SELECT 'Book Title ' || n AS title, printf('£%.2f', 10 + n % 40 + 0.99 * (n % 7)) AS price, 'star-rating Three' AS rating,
        '/catalogue/book-' || n || '.html' AS href, ((n - 1) // 20)::INT AS depth FROM range(1, 1001) t(n)""")
 def catalogue_crawl(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The 50-page catalogue by declared extraction: pages are joined with what follows each, in one plan.
+    """A crawl of the catalogue by its pager from the first page: 50 levels of one page, each with 20 items."""
+    spider = DeclarativeSpider(
+        "books", ["http://mockserver/catalogue/page-1.html"], "article.product_pod", BOOK, LinkExtractor().restrict_css("li.next").allow(r"page-[0-9]+\.html$")
+    )
+    pages = Crawl(spark, CorpusSource(responses(catalogue(spark))).indexed()).pages([spider])
+    items = pages.select("depth", F.explode("items").alias("item"))
+    return items.select(*(json_field(F.col("item"), f"$.{c}").alias(c) for c in ("title", "price", "rating", "href")), "depth")
 
-    No crawl takes place: the pager is a chain, so a crawl's depth would be the page's number.  The tests run
-    :class:`.crawl.Crawl` over the first three pages only.
-    """
-    pages = written(catalogue(spark), staging_dir(spark, "catalogue"))
-    items = extract_rows(pages, "article.product_pod", BOOK, ("url",))
-    return items.select("title", "price", "rating", "href", (F.regexp_extract("url", "page-([0-9]+)", 1).cast("int") - 1).alias("depth"))
 
+class _Domain(_Pages):
+    def __init__(self, name: str, *domains: str):
+        self.name, self.allowed_domains, self.max_depth = name, domains, 1
 
-@query("""
-SELECT spider, count(*)::BIGINT AS pages_crawled, count(*)::BIGINT AS items_scraped, 0::BIGINT AS errors, sum(octet_length(encode(html)))::BIGINT AS bytes_downloaded FROM (
-  SELECT DISTINCT ON (url) regexp_extract(url, '^[a-z]+://[^/?#]*?([a-z]+\\.[a-z]+)([/?#]|$)', 1) AS spider, url, html FROM pages ORDER BY url, html) GROUP BY spider""")
+
+@query(f"""
+WITH {_LINKS},
+seeds AS (SELECT DISTINCT 's' || page_id % 3 AS spider, url FROM pages),
+found AS (SELECT DISTINCT 's' || page_id % 3 AS spider, link AS url, regexp_extract(link, '^[a-z]+://([^/?#]*)', 1) AS host FROM links),
+visited AS (
+  SELECT spider, url FROM seeds UNION
+  SELECT spider, url FROM found WHERE spider = 's2' OR (spider = 's0' AND ends_with(host, 'example.com')) OR (spider = 's1' AND ends_with(host, 'example.org')))
+SELECT spider, count(*)::BIGINT AS pages_crawled, count(html)::BIGINT AS items_scraped, 0::BIGINT AS errors, coalesce(sum(octet_length(encode(html))), 0)::BIGINT AS bytes_downloaded, false AS interrupted
+FROM visited LEFT JOIN (SELECT url, min(html) AS html FROM pages GROUP BY url) USING (url) GROUP BY spider""")
 def multi_spider_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each domain as a spider of its own: one pass over all pages, counters by spider."""
-    pages = table(spark, sf_dir, "pages").select(F.regexp_extract("url", r"^[a-z]+://[^/?#]*?([a-z]+\.[a-z]+)([/?#]|$)", 1).alias("spider"), "url", "html")
-    fetched = pages.groupBy("spider", "url").agg(F.min("html").alias("html"))
-    titles = ExtractPlan({"title": Css("title", first=True)}).column(F.col("html"))["title"]
-    done = fetched.select("spider", "url", F.octet_length("html").cast("bigint").alias("n_bytes"), F.lit(None).cast("string").alias("error"), titles.alias("item"))
-    return crawl_stats(done, done.where("item is not null"))
+    """Three spiders with seeds and domains of their own, run together."""
+    pages = table(spark, sf_dir, "pages")
+    seeds = pages.select(F.concat(F.lit("s"), (F.col("page_id") % 3).cast("string")).alias("spider"), "url")
+    spiders = [_Domain("s0", "example.com"), _Domain("s1", "example.org"), _Domain("s2")]
+    stats = Crawl(spark, CorpusSource(responses(pages))).seeded(seeds).run_all(spiders)
+    return spark.createDataFrame(stats, "spider string, pages_crawled bigint, items_scraped bigint, errors bigint, bytes_downloaded bigint, interrupted boolean")
+
+
+class _Overloaded(Middleware):
+    """Answers 503 for addresses with a query, whatever was recorded."""
+
+    def before_request(self, requests: DataFrame) -> DataFrame:
+        return requests.withColumn("asked", F.col("url").contains("?"))
+
+    def after_response(self, responses: DataFrame) -> DataFrame:
+        return responses.withColumn("status", F.when(F.col("asked"), 503).otherwise(F.col("status"))).drop("asked")
+
+
+class _Again(_Pages):
+    name, max_depth = "again", 0
+
+    def on_error(self, url: str, kind: str):
+        return retry(1)
+
+
+@query(f"""
+WITH asked AS (
+  SELECT DISTINCT url, contains(url, '?') AS busy FROM pages WHERE regexp_replace(regexp_replace(url, '^[a-z]+://[^/?#]*', ''), '#.*$', '') NOT LIKE '/fr/%'),
+tries AS (SELECT url, busy, 0 AS retry FROM asked UNION ALL SELECT url, busy, 1 FROM asked WHERE busy)
+SELECT url, retry, CASE WHEN NOT busy THEN 'fetch.ok' WHEN retry = 0 THEN 'retry' ELSE 'skip' END AS event, CASE WHEN busy THEN 'http_status' END AS error,
+       CASE WHEN busy THEN 503 ELSE 200 END AS status, CASE WHEN busy THEN 0 ELSE 1 END AS n_items, 250.0::DOUBLE AS delay_ms FROM tries""")
+def crawl_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Middleware, status rules, retries by policy of the spider, robots files from the source, and a delay, as the log of a crawl shows them."""
+    pages = table(spark, sf_dir, "pages")
+    robots = pages.select(F.concat(origin(F.col("url")), F.lit("/robots.txt")).alias("url")).distinct().withColumn("html", F.lit("User-agent: *\nDisallow: /fr/\n"))
+    source = CorpusSource(responses(pages.select("url", "html").unionByName(robots)))
+    crawl = Crawl(spark, source).middleware(_Overloaded()).status_retry().crawl_delay(250).seeded(pages.select("url"))
+    return crawl.log(crawl.pages([_Again()])).select("url", "retry", "event", "error", "status", "n_items", "delay_ms")
+
+
+@query(f"WITH {_LINKS} SELECT DISTINCT link AS url FROM links WHERE link NOT IN (SELECT url FROM pages)")
+def frontier_approximate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seen addresses in a Bloom filter that is large enough to be right here."""
+    pages = table(spark, sf_dir, "pages").select(F.lit("s").alias("spider"), "url", "html")
+    links = pages.select("spider", F.explode(LinkExtractor().column(F.col("html"), F.col("url"))).alias("url")).unionByName(pages.select("spider", "url"))
+    return approximately_fresh(links, pages, 200_000, 1e-9).select("url")
 
 
 @query(f"WITH {_LINKS} SELECT 's' AS spider, link AS url, 1 AS depth FROM (SELECT DISTINCT link FROM links WHERE link NOT IN (SELECT url FROM pages)) UNION ALL SELECT 's', url, 0 FROM (SELECT DISTINCT url FROM pages)")
@@ -525,19 +575,144 @@ def text_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", is_text(t).alias("is_text"))
 
 
-@query("SELECT page_id, greatest(1000 - page_id % 200 * 10, 0) < 500 AS hit FROM pages")
+@query("SELECT page_id, greatest(1000 - page_id % 200 * 10, 0) < 500 AS hit, CASE WHEN greatest(1000 - page_id % 200 * 10, 0) < 500 THEN length(html) ELSE 4 END::BIGINT AS n FROM pages")
 def cache_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Entries cached at different times, seen at second 1000 with a life of 500."""
+    """Pages in a cache since different times, asked for at second 1000 with a life of 500; those too old are fetched and gone."""
+    pages = table(spark, sf_dir, "pages")
     at = (F.col("page_id") % 200 * 10).cast("bigint")
-    return table(spark, sf_dir, "pages").select("page_id", still_fresh(at, F.lit(1000).cast("bigint"), 500).alias("hit"))
+    path = staging_dir(spark, "cache")
+    pages.select("url", F.lit(200).alias("status"), F.col("html").alias("body"), at.alias("cached_at")).write.parquet(path)
+    source = CachingSource(MockSource(spark, {}, (404, "gone")), path, ttl=500, now=1000)
+    found = source.fetch(pages.select("page_id", "url"))
+    return found.select("page_id", (F.col("status") == 200).alias("hit"), F.length("body_text").cast("bigint").alias("n"))
 
 
 @query("SELECT event_id, count(*) OVER w AS requests, sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) OVER w::BIGINT AS errors FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)")
-def running_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+def running_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
     return table(spark, sf_dir, "events").select("event_id", F.count("*").over(w).alias("requests"), F.sum(F.when(F.col("event_type") == "error", 1).otherwise(0)).over(w).alias("errors"))
 
 
+def _arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages as a stream of four files, one a batch."""
+    folder = staging_dir(spark, "arrivals")
+    table(spark, sf_dir, "pages").repartition(4, "page_id").write.parquet(folder)
+    return page_stream(spark, folder, files_per_trigger=1)
+
+
+@query("SELECT count(*)::BIGINT AS pages, sum(octet_length(encode(html)))::BIGINT AS bytes FROM pages")
+def running_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a stream's batches report of themselves, added up."""
+    counted = running_counts(_arrivals(spark, sf_dir))
+    q = counted.writeStream.format("noop").option("checkpointLocation", staging_dir(spark, "checkpoint")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    seen = [p.observedMetrics["crawl"] for p in q.recentProgress if "crawl" in p.observedMetrics]
+    return spark.createDataFrame([(sum(r["pages"] for r in seen), sum(r["bytes"] or 0 for r in seen))], "pages bigint, bytes bigint")
+
+
+@query(f"""
+WITH {_LINKS} SELECT '{{"href":"' || h || '"}}' AS item FROM links""")
+def streamed_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items of a stream of pages, stored batch by batch as JSON Lines and read again."""
+    items = item_stream(_arrivals(spark, sf_dir), "nav a[href]", ExtractSpec(Field("href", "a", attr="href")))
+    out = staging_dir(spark, "lines")
+    into(items, JsonlStore(out), staging_dir(spark, "checkpoint")).awaitTermination()
+    return spark.read.text(out).select(F.col("value").alias("item"))
+
+
+# --- stores, files and other ways in ------------------------------------------------------------
+
+
+@query(f"WITH {_ITEMS} SELECT item FROM items UNION ALL SELECT item FROM items")
+def store_json_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Appended twice, and read again."""
+    store = JsonlStore(staging_dir(spark, "lines"))
+    for _ in range(2):
+        store.write(_items(spark, sf_dir))
+    return spark.read.text(store.path).select(F.col("value").alias("item"))
+
+
+@query(f"WITH {_ITEMS} SELECT k || ',' || CASE WHEN event_type = 'error' THEN '' ELSE 'u' || user_id END || ',' || event_type || ',' AS line FROM items")
+def store_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = CsvStore(staging_dir(spark, "csv"), headers=("k", "user", "type", "none"))
+    store.write(_items(spark, sf_dir))
+    return spark.read.text(store.path).where("value <> 'k,user,type,none'").select(F.col("value").alias("line"))
+
+
+@query(f"WITH {_ITEMS} SELECT 'json' AS kind, item FROM items UNION ALL SELECT 'jsonl', item FROM items")
+def store_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An object of lines and one that is an array, read again."""
+    items, out = _items(spark, sf_dir), []
+    for kind in ("json", "jsonl"):
+        store = ObjectStore(staging_dir(spark, "objects"), "results/", kind, f"items.{kind}")
+        store.write(items)
+        if kind == "jsonl":
+            read = spark.read.text(store.path)
+        else:
+            read = spark.read.text(store.path, wholetext=True).select(F.explode(F.try_variant_get(F.parse_json("value"), "$", "array<variant>")).alias("v")).select(F.to_json("v").alias("value"))
+        out.append(read.select(F.lit(kind).alias("kind"), F.col("value").alias("item")))
+    return out[0].unionByName(out[1])
+
+
+@query("SELECT page_id, 200 AS status, (octet_length(encode(html)) + 1)::BIGINT AS n_bytes FROM pages")
+def local_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages from files, a folder each, as recorded responses."""
+    folder = staging_dir(spark, "files")
+    table(spark, sf_dir, "pages").select("page_id", "html").write.partitionBy("page_id").text(folder)
+    found = read_files(spark, f"{folder}/*/*.txt")
+    return found.select(F.regexp_extract("url", "page_id=([0-9]+)", 1).cast("bigint").alias("page_id"), "status", F.octet_length("body_text").cast("bigint").alias("n_bytes"))
+
+
+@query("SELECT event_id, (props->>'k')::INT AS k FROM events")
+def json_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select("event_id", json_body(F.col("props"), "k int")["k"].alias("k"))
+
+
+@query("SELECT page_id, len(regexp_extract_all(html, '<li>'))::BIGINT AS li, len(regexp_extract_all(html, '<a '))::BIGINT AS anchors, '[' || page_id || ']' AS json FROM pages")
+def extractor_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three extractors as plain objects, in Arrow batches."""
+    kind = pa.struct([("li", pa.int64()), ("anchors", pa.int64()), ("json", pa.string())])
+
+    def run(ids: pa.Array, bodies: pa.Array) -> pa.Array:
+        out = []
+        for i, body in zip(ids.to_pylist(), bodies.to_pylist()):
+            json = JsonPathExtractor().extract_values(f'{{"a": {{"id": [{i}]}}}}', "$..id")
+            out.append({"li": len(CssExtractor().extract(Response("", body), "li")), "anchors": len(RegexExtractor().extract_values(body, "<a ")), "json": json[0]})
+        return pa.array(out, kind)
+
+    found = F.arrow_udf(run, "li bigint, anchors bigint, json string").asNondeterministic()("page_id", "html")
+    return table(spark, sf_dir, "pages").select("page_id", found.alias("f")).select("page_id", "f.*")
+
+
+_FIRST_WORD = f"nullif(regexp_extract({_decoded("regexp_extract(html, '<title>(.*?)</title>', 1)")}, '^([A-Za-z]+)', 1), '')"
+
+
+@query(f"""
+SELECT page_id, {_FIRST_WORD} AS word, regexp_extract(html, 'charset="([^"]*)"', 1) AS charset, coalesce({_FIRST_WORD}, 'none') AS either FROM pages""")
+def field_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields by a pattern over a match's text; where an attribute is named, that counts and the pattern does not."""
+    spec = ExtractSpec(
+        Field("word", "title", re="^([A-Za-z]+)", optional=True),
+        Field("charset", "meta", attr="charset", re="([a-z]+)"),
+        Field("either", "title", re="^([A-Za-z]+)", default="none"),
+    )
+    return extract_rows(table(spark, sf_dir, "pages"), "html", spec, ("page_id",)).drop("pos")
+
+
+@query(f"""
+SELECT page_id, {_decoded("regexp_extract(html, '<title>(.*?)</title>', 1)")} AS title, '7' AS price, NULL::VARCHAR AS rating, 'unrated' AS note FROM pages""")
+def model_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blank fields that a model is asked for: one it answers, and two it has no text for."""
+    spec = ExtractSpec(
+        Field("title", "title"),
+        Field("price", ".price_color", llm_fallback="the price"),
+        Field("rating", ".star-rating", llm_fallback=True, optional=True),
+        Field("note", ".note", llm_fallback=True, default="unrated"),
+    )
+    client = FakeClient(("<html", {"title": "not asked for", "price": "7", "rating": " ", "note": 5}))
+    return extract_rows_with_fallback(table(spark, sf_dir, "pages"), "html", spec, client, ("page_id",)).drop("pos")
+
+
 # --- sitemaps and robots ------------------------------------------------------------------------
 
 
@@ -572,11 +747,25 @@ def sitemap_follow(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-SELECT page_id, {_ORIGIN} AS origin, path NOT LIKE '/en/%' OR path LIKE '/en/%.html' AS allowed FROM (
-  SELECT *, regexp_replace(regexp_replace(regexp_replace(url, '^[a-z]+://[^/?#]*', ''), '#.*$', ''), '\\?.*$', '') AS path FROM pages)""")
+SELECT page_id, {_ORIGIN} AS origin, path NOT LIKE '/en/%' OR path LIKE '/en/%.html%' OR path LIKE '/en/%=1' AS allowed FROM (
+  SELECT *, regexp_replace(regexp_replace(url, '^[a-z]+://[^/?#]*', ''), '#.*$', '') AS path FROM pages)""")
 def robots_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    txt = F.lit("User-agent: other\nDisallow: /\n\nUser-agent: *\nDisallow: /en/\nAllow: /en/*.html\n")
-    return table(spark, sf_dir, "pages").select("page_id", origin(F.col("url")).alias("origin"), robots_allowed(txt, F.split_part("url", F.lit("?"), F.lit(1)), "sparkweft").alias("allowed"))
+    txt = F.lit("User-agent: other\nDisallow: /\n\nUser-agent: *\nDisallow: /en/\nAllow: /en/*.html\nAllow: /en/*=1$\n")
+    return table(spark, sf_dir, "pages").select("page_id", origin(F.col("url")).alias("origin"), robots_allowed(txt, F.col("url"), "sparkweft").alias("allowed"))
+
+
+@query(f"""
+SELECT {_HOST} AS host, replace(url, '&', '&amp;') AS loc, '2024-01-01' AS lastmod, ('0.' || page_id % 10)::DOUBLE AS priority FROM pages WHERE contains(url, 'example')""")
+def sitemap_crawl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A spider over the sitemap of each host, found by its robots file, that takes entries of some addresses."""
+    maps = _by_host(spark, sf_dir)
+    site = F.concat(F.lit("http://"), "host")
+    robots = maps.select(F.concat(site, F.lit("/robots.txt")).alias("url"), F.concat(F.lit("User-agent: *\nSitemap: "), site, F.lit("/map.xml\n")).alias("html"))
+    corpus = maps.select(F.concat(site, F.lit("/map.xml")).alias("url"), F.col("body").alias("html")).unionByName(robots)
+    spider = SitemapSpider("http://unused", sitemap="http://none/sitemap.xml").filter_url(lambda u: "example" in u)
+    pages = Crawl(spark, CorpusSource(responses(corpus))).seeded(robots.select("url")).pages([spider])
+    items = pages.where("depth = 1").select(http_host(F.col("url")).alias("host"), F.explode("items").alias("item"))
+    return items.select("host", *(json_field(F.col("item"), f"$.{c}").alias(c) for c in ("loc", "lastmod")), json_field(F.col("item"), "$.priority").cast("double").alias("priority"))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

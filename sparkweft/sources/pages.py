@@ -7,12 +7,16 @@ source takes requests (``url`` and any other columns) and adds the columns of
 
 from __future__ import annotations
 
+import uuid
 from typing import Protocol
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.robots import origin
+from .staging import staging_dir
+
 RESPONSE = ("status", "headers", "elapsed_ms", "body_text", "body_bytes")
 
 
@@ -62,14 +66,39 @@ class CorpusSource:
     broadcasts the requests of a level where they are the small side.
     """
 
-    def __init__(self, recorded: DataFrame, default: tuple[int | None, str | None] = (404, "")):
-        self.recorded, self.default = recorded, default
+    def __init__(self, recorded: DataFrame, default: tuple[int | None, str | None] = (404, ""), unique: bool = False):
+        self.recorded, self.default, self.unique = recorded, default, unique
 
-    def fetch(self, requests: DataFrame) -> DataFrame:
+    @staticmethod
+    def _one_each(rows: DataFrame) -> DataFrame:
         order = Window.partitionBy("url").orderBy("status", "body_text")
+        return rows.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
+
+    def indexed(self, buckets: int | None = None) -> CorpusSource:
+        """The same source with its corpus written once, a row an address, in buckets of addresses and sorted within.
+
+        A fetch then shuffles its requests to the buckets, or broadcasts them, and never
+        shuffles the corpus: for crawls of many levels.
+        """
+        spark = self.recorded.sparkSession
+        n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        name = f"corpus_{uuid.uuid4().hex}"
+        one = self.recorded if self.unique else self._one_each(self.recorded)
+        one.select("url", *RESPONSE).repartition(n, "url").write.bucketBy(n, "url").sortBy("url").option("path", staging_dir(spark, name)).saveAsTable(name)
+        return CorpusSource(spark.table(name), self.default, unique=True)
+
+    def robots(self) -> DataFrame | bool:
+        """The robots files in the corpus: (``origin``, ``txt``); True if any address has an answer, so that each must be asked for."""
+        status, body = self.default
+        if status is not None and 200 <= status < 300 and body:
+            return True
+        mine = self.recorded.where(F.col("url").endswith("/robots.txt") & F.col("status").between(200, 299) & F.col("body_text").isNotNull())
+        return mine.where(F.col("url") == F.concat(origin(F.col("url")), F.lit("/robots.txt"))).select(origin(F.col("url")).alias("origin"), F.col("body_text").alias("txt"))
+
+    def fetch(self, requests: DataFrame) -> DataFrame:
         # only the addresses that are asked for are made unique, not the whole corpus
         asked = self.recorded.join(requests.select("url").distinct(), "url", "left_semi")
-        one = asked.withColumn("_n", F.row_number().over(order)).where("_n = 1").select("url", *RESPONSE, F.lit(True).alias("_hit"))
+        one = (asked if self.unique else self._one_each(asked)).select("url", *RESPONSE, F.lit(True).alias("_hit"))
         found = requests.join(one, "url", "left")
         status, body = self.default
         missing = F.col("_hit").isNull()
@@ -123,6 +152,10 @@ class CachingSource:
     def _now(self) -> Column:
         return F.lit(self.now).cast("bigint") if self.now is not None else F.unix_timestamp()
 
+    def robots(self) -> DataFrame | bool:
+        of_inner = getattr(self.inner, "robots", None)
+        return of_inner() if of_inner else True
+
     def fetch(self, requests: DataFrame) -> DataFrame:
         kept = self.entries(requests.sparkSession)
         if kept is None:
@@ -152,6 +185,9 @@ class AttemptSource:
     def __init__(self, attempts: DataFrame, retry, default: tuple[int | None, str | None] = (404, "")):
         self.attempts, self.retry, self.default = attempts, retry, default
 
+    def with_retry(self, retry) -> AttemptSource:
+        return AttemptSource(self.attempts, retry, self.default)
+
     def fetch(self, requests: DataFrame) -> DataFrame:
         from ..functions.policy import resolve_attempts
 

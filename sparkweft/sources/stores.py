@@ -10,11 +10,12 @@ import json
 import re
 import sqlite3
 import time
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from datetime import UTC, datetime
 from pathlib import Path
 from typing import Protocol
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -136,20 +137,61 @@ class SqliteStore:
 
 
 class JdbcStore:
-    """A table of a database with a JDBC driver on the class path (PostgreSQL, MySQL); rows are appended by all tasks."""
+    """A table of a database with a JDBC driver on the class path; rows are appended by all tasks.
 
-    def __init__(self, url: str, table: str = "items", columns: Sequence[str] = (), properties: dict[str, str] | None = None):
-        self.url, self.table, self.columns, self.properties = url, table_name(table), tuple(columns), properties or {}
+    With ``create_table`` the table is made if it is absent: a number that the database
+    assigns, ``data`` as the database's JSON type, ``created_at``, and ``columns`` (name, type).
+    """
+
+    #: By database: number, JSON, time, and quotes.
+    TYPES = {
+        "postgresql": ("BIGSERIAL PRIMARY KEY", "JSONB NOT NULL", "TIMESTAMPTZ NOT NULL", '"'),
+        "mysql": ("BIGINT AUTO_INCREMENT PRIMARY KEY", "JSON NOT NULL", "DATETIME NOT NULL", "`"),
+        "derby": ("BIGINT GENERATED ALWAYS AS IDENTITY PRIMARY KEY", "CLOB NOT NULL", "TIMESTAMP NOT NULL", '"'),
+    }
+
+    def __init__(self, url: str, table: str = "items", columns: Sequence[tuple[str, str]] = (), properties: dict[str, str] | None = None, create_table: bool = True):
+        self.url, self.table, self.properties, self.create_table = url, table_name(table), properties or {}, create_table
+        self.columns = [(table_name(c), t) for c, t in columns]
+        self.database = url.split(":")[1] if url.startswith("jdbc:") else ""
+        if self.database not in self.TYPES:
+            raise StoreError(f"unknown database {url!r}")
+
+    def ddl(self) -> str:
+        number, data, time_, q = self.TYPES[self.database]
+        extra = "".join(f", {q}{c}{q} {t}" for c, t in self.columns)
+        name = f"{q}{self.table}{q}"
+        absent = "" if self.database == "derby" else "IF NOT EXISTS "
+        return f"CREATE TABLE {absent}{name} ({q}id{q} {number}, {q}data{q} {data}, {q}created_at{q} {time_}{extra})"
+
+    def _create(self, items: DataFrame) -> None:
+        jvm = items.sparkSession._jvm
+        options = jvm.java.util.Properties()
+        for k, v in self.properties.items():
+            options.setProperty(k, v)
+        connection = jvm.java.sql.DriverManager.getConnection(self.url, options)
+        try:
+            there = connection.getMetaData().getTables(None, None, self.table, None)
+            if not there.next():
+                connection.createStatement().execute(self.ddl())
+        finally:
+            connection.close()
 
     def write(self, items: DataFrame) -> None:
-        promoted(items, self.columns).withColumn("created_at", F.current_timestamp()).write.mode("append").jdbc(self.url, self.table, properties=self.properties)
+        if self.create_table:
+            self._create(items)
+        rows = promoted(items, [c for c, _ in self.columns]).withColumn("created_at", F.current_timestamp())
+        q = self.TYPES[self.database][3]
+        # texts go to JSON columns untyped where the database asks for it
+        properties = {"stringtype": "unspecified"} | self.properties if self.database == "postgresql" else self.properties
+        rows.write.mode("append").jdbc(self.url, f"{q}{self.table}{q}", properties=properties)
 
 
 class ObjectStore:
     """JSON Lines or a JSON array as an object under a Hadoop path (``s3a://``, ``gs://``, ``file://``).
 
     No items, no object.  Lines go into a folder of the object's name, a part a task;
-    an array is one partition, for results of modest size.
+    an array is written by one task, which holds none of it.
     """
 
     def __init__(self, root: str, prefix: str = "", kind: str = "jsonl", filename: str | None = None):
@@ -168,8 +210,19 @@ class ObjectStore:
         if self.kind == "jsonl":
             items.select("item").write.mode("overwrite").text(self.path)
         else:
-            text = F.concat(F.lit("["), F.array_join(F.collect_list("item"), ","), F.lit("]"))
-            items.agg(text.alias("value")).coalesce(1).write.mode("overwrite").text(self.path)
+            items.select("item").coalesce(1).mapInArrow(_as_array, "value string").write.mode("overwrite").text(self.path)
+
+
+def _as_array(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The lines of a JSON array of all texts."""
+    ahead = "["
+    for b in batches:
+        lines = []
+        for text in b.column(0).to_pylist():
+            lines.append(ahead + text)
+            ahead = ","
+        yield pa.RecordBatch.from_pydict({"value": pa.array(lines, pa.string())})
+    yield pa.RecordBatch.from_pydict({"value": ["]" if ahead == "," else "[]"]})
 
 
 __all__ = ["ConsoleStore", "CsvStore", "JdbcStore", "JsonStore", "JsonlStore", "ObjectStore", "SqliteStore", "Store", "StoreError", "csv_row", "has_field", "promoted", "table_name"]

@@ -14,10 +14,11 @@ from sparkweft.functions.policy import AutoThrottle, RetryPolicy, StatusRules, r
 from sparkweft.operators.extract import ExtractSpec, Field
 from sparkweft.operators.items import DropDuplicates, RequireFields
 from sparkweft.operators.links import LinkExtractor
-from sparkweft.plans.crawl import ABORT, Crawl, CrawlAborted, DeclarativeSpider, Output, Spider, retry
+from sparkweft.operators.frontier import approximately_fresh, fresh
+from sparkweft.plans.crawl import ABORT, Crawl, CrawlAborted, DeclarativeSpider, Middleware, Output, SitemapSpider, Spider, retry, unfollowed
 from sparkweft.plans.queries import BOOK, catalogue
 from sparkweft.sources.pages import AttemptSource, CachingSource, CorpusSource, MockSource, responses
-from sparkweft.sources.stores import CsvStore, JsonlStore, JsonStore, SqliteStore, StoreError, table_name
+from sparkweft.sources.stores import CsvStore, JdbcStore, JsonlStore, JsonStore, ObjectStore, SqliteStore, StoreError, table_name
 from sparkweft.streaming.items import into, item_stream, page_stream
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -109,6 +110,118 @@ def test_attempts_and_cache(spark, tmp_path):
     assert CachingSource(MockSource(spark, {}), cache.path, ttl=0, now=100).fetch(home).first()["status"] == 404
 
 
+class Watching(Middleware):
+    """Adds a header, turns one status, and keeps what failed."""
+
+    def __init__(self):
+        self.failed = []
+
+    def before_request(self, requests):
+        return requests.withColumn("sent", F.lit("x"))
+
+    def after_response(self, responses):
+        return responses.withColumn("status", F.when(F.col("sent") == "x", F.when(F.col("url").endswith("/b"), 500).otherwise(F.col("status"))))
+
+    def on_error(self, failures):
+        self.failed += [(r.url, r.error) for r in failures.collect()]
+
+
+def test_middleware_sees_requests_responses_and_errors(spark):
+    watching = Watching()
+    pages = Crawl(spark, MockSource(spark, SITE)).middleware(watching).status_retry().pages([Retrying()])
+    assert sorted(watching.failed) == [("http://a.com/b", "http_status")] * 3 + [("http://a.com/c", "http_status")] * 3
+    far = unfollowed(pages, [Titles(), Retrying()]).collect()
+    assert [(r.url, r.error) for r in far] == [("http://other.org/", "domain_not_allowed")]
+
+
+def test_errors_have_kinds_and_messages(spark):
+    class Broken(Titles):
+        name, start_urls = "broken", ("http://a.com/", "mailto:a@b.org", "http://none.com/")
+
+        def parse(self, response):
+            raise KeyError("gone")
+
+    source = MockSource(spark, {"http://a.com/": (200, "x")}, (None, None))
+    got = {r.url: (r.error, r.message) for r in Crawl(spark, source).pages([Broken()]).collect()}
+    assert got == {"http://a.com/": ("parse", "KeyError('gone')"), "mailto:a@b.org": ("invalid_url", None), "http://none.com/": ("fetch", None)}
+
+
+def test_robots_files_come_from_the_source(spark):
+    site = SITE | {"http://a.com/robots.txt": (200, "User-agent: *\nDisallow: /b")}
+    for source in (MockSource(spark, site), CachingSource(MockSource(spark, site), "/nonexistent/none"), MockSource(spark, site).indexed()):
+        assert len(Crawl(spark, source)._recorded_robots().collect()) == 1
+    assert sorted(r.url for r in Crawl(spark, MockSource(spark, site)).pages([Titles()]).collect()) == ["http://a.com/", "http://a.com/c"]
+    assert Crawl(spark, MockSource(spark, site)).respect_robots(False).run(Titles()).pages_crawled == 3
+    anywhere = MockSource(spark, {"http://a.com/": SITE["http://a.com/"]}, (200, "User-agent: *\nDisallow: /c"))
+    assert sorted(r.url for r in Crawl(spark, anywhere).pages([Titles()]).collect()) == ["http://a.com/", "http://a.com/b"]
+
+
+def test_cache_seen_keys_and_log_of_a_crawl(spark, tmp_path):
+    step = DropDuplicates.by_field("title").with_persistence(str(tmp_path / "seen"))
+    crawl = Crawl(spark, MockSource(spark, SITE)).http_cache(str(tmp_path / "cache"), now=5).pipeline(step).metrics_interval(1).retry(2)
+    assert crawl.run(Titles()).items_scraped == 3
+    again = Crawl(spark, MockSource(spark, {})).http_cache(str(tmp_path / "cache")).pipeline(step)
+    assert again.run(Titles())[1:3] == (3, 0)  # pages from the cache, items known
+    crawl = Crawl(spark, MockSource(spark, SITE)).crawl_delay(40).autothrottle(AutoThrottle(1.0, 100, 10, 500)).rate_limit(1)
+    rows = {r.url: r for r in crawl.log(crawl.max_urls(1000).pages([Titles()])).collect()}
+    assert {u: (r.event, r.level) for u, r in rows.items()} == {"http://a.com/": ("fetch.ok", 0), "http://a.com/b": ("fetch.ok", 1), "http://a.com/c": ("fetch.ok", 1)}
+    state, want = (100.0, 100.0), []
+    for status in (200, 200, 503):
+        state = AutoThrottle(1.0, 100, 10, 500).step(*state, 0.0, status)
+        want.append(max(40.0, state[0]))
+    assert [(rows[f"http://a.com/{u}"].delay_ms, rows[f"http://a.com/{u}"].due_us) for u in ("", "b", "c")] == [*zip(want, (0, 1_000_000, 2_000_000))]
+
+
+def test_sitemaps_are_followed_and_filtered(spark):
+    entry = lambda u, p: f"<url><loc>{u}</loc><lastmod>a b</lastmod><priority>{p}</priority></url>"
+    site = {
+        "http://s.org/robots.txt": (200, "User-agent: *\nSitemap: http://s.org/index.xml"),
+        "http://s.org/index.xml": (200, "<sitemapindex><loc>http://s.org/m.xml</loc></sitemapindex>"),
+        "http://s.org/m.xml": (200, entry("http://s.org/keep", "0.5") + entry("http://s.org/m.xml", "x") + entry("http://s.org/drop", "1")),
+        "http://s.org/keep": (200, "<p>page</p>"),
+    }
+    spider = SitemapSpider("http://s.org/", from_robots=True).filter_url(lambda u: "drop" not in u)
+    pages = Crawl(spark, MockSource(spark, site)).pages([spider]).collect()
+    assert {(r.url, r.depth) for r in pages} == {("http://s.org/robots.txt", 0), ("http://s.org/index.xml", 1), ("http://s.org/m.xml", 2), ("http://s.org/keep", 3)}
+    items = [json.loads(i) for r in pages for i in r["items"]]
+    assert items == [{"loc": "http://s.org/keep", "lastmod": None, "changefreq": None, "priority": 0.5}, {"loc": "http://s.org/m.xml", "lastmod": None, "changefreq": None, "priority": None}]
+    assert SitemapSpider("http://s.org/").start_urls == ["http://s.org/sitemap.xml"]
+
+
+def test_approximate_frontier_never_passes_a_seen_address(spark):
+    seen = spark.range(2000).select(F.lit("s").alias("spider"), F.concat(F.lit("u"), "id").alias("url"))
+    asked = spark.range(1000, 4000).select(F.lit("s").alias("spider"), F.concat(F.lit("u"), "id").alias("url"))
+    exact = {r.url for r in fresh(asked, seen).collect()}
+    got = {r.url for r in approximately_fresh(asked, seen, 2000, 0.01).collect()}
+    assert got <= exact and len(got) > 0.97 * len(exact)
+    assert approximately_fresh(asked, seen.limit(0), 10).count() == 3000
+
+
+def test_jdbc_store_on_an_embedded_database(spark):
+    url = "jdbc:derby:memory:items;create=true"
+    items = spark.createDataFrame([(1, '{"a":"x"}'), (2, '{"b":[1]}')], "seq int, item string")
+    for _ in range(2):
+        JdbcStore(url, "t_1", [("a", "CLOB")], {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}).write(items)
+    rows = spark.read.jdbc(url, '"t_1"', properties={"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}).collect()
+    assert sorted((r["data"], r["a"] or "") for r in rows) == [('{"a":"x"}', "x")] * 2 + [('{"b":[1]}', "")] * 2 and len({r["id"] for r in rows}) == 4
+    assert JdbcStore("jdbc:mysql://h/d").ddl().startswith("CREATE TABLE IF NOT EXISTS `items` (`id` BIGINT AUTO_INCREMENT PRIMARY KEY, `data` JSON")
+    with pytest.raises(StoreError):
+        JdbcStore("jdbc:other:x")
+
+
+def test_a_store_that_fails_ends_the_run(spark, tmp_path):
+    class Full:
+        def write(self, items):
+            raise OSError("disk full")
+
+    good = JsonlStore(str(tmp_path / "good"))
+    with pytest.raises(StoreError, match="Full: disk full"):
+        Crawl(spark, MockSource(spark, SITE)).store(good).store(Full()).run(Titles())
+    assert spark.read.text(str(tmp_path / "good")).count() == 3
+    ObjectStore(str(tmp_path), kind="json", filename="none.json").write(spark.createDataFrame([], "item string"))
+    assert not (tmp_path / "none.json").exists()
+
+
 def test_policies(spark):
     log = spark.createDataFrame([(i, 0) for i in range(5)], "id int, at bigint")
     assert [r.start_us for r in rate_limited(log, 2, "at", ("id",)).orderBy("id").collect()] == [0, 0, 500_000, 1_000_000, 1_500_000]
