@@ -8,8 +8,10 @@ lost with it.
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,6 +34,23 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+@lru_cache(maxsize=8)
+def _own_folder(spark: SparkSession, base: str, application: str) -> str:
+    """The application's folder for intermediate tables; removed when the driver's Python ends in the usual way."""
+    path = f"{base}/sparkweft/{application}"
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+
+    def remove() -> None:
+        try:
+            p = jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(conf).delete(p, True)
+        except Exception:  # the JVM is gone: the files stay, as after a crash
+            pass
+
+    atexit.register(remove)
+    return path
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet to the shared folder, and read from there.
 
@@ -39,7 +58,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     what came before.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/sparkweft/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    path = f"{_own_folder(spark, shared_dir(spark), spark.sparkContext.applicationId)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

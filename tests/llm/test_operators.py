@@ -10,6 +10,7 @@ import re
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from sparkweft.llm import chat, decontaminate, hamming, langid, mixing, ngram_join, passages, substrings, templates, tokens, warc, wavelet
@@ -190,6 +191,17 @@ def test_large_buckets_are_cut_without_losing_links(spark, monkeypatch, rows):
     assert kept == {c for c, _ in want.values()}
 
 
+def test_twenty_thousand_near_copies_cost_linear_work(spark):
+    """No two texts are equal, and all are similar: the pairs that deduplication looks at grow as the texts."""
+    base = words(40, 5)
+    docs = spark.range(20_000).select(F.col("id").alias("doc_id"), F.concat(F.lit(base + " w"), F.col("id").cast("string")).alias("text"))
+    signed = ngram_join._Signed(docs, 3, 20, 3, 64)
+    pruning = ngram_join._Pruning(20, 64, ngram_join.THRESHOLD, ngram_join.TOLERANCE)
+    assert signed.classes.count() == 20_000
+    assert 20_000 <= ngram_join._star_candidates(signed, pruning).count() + 1 <= 20 * 20_000
+    assert [r.doc_id for r in ngram_join.deduplicate(docs).collect()] == [0]
+
+
 def test_groups_across_components_of_a_large_bucket(spark, monkeypatch):
     """Members of a bucket that are far from its smallest class but near to each other still meet."""
     for name, value in (("BUCKET_ROWS", 3), ("FEW", 2)):
