@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,9 +25,26 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+@lru_cache(maxsize=8)
+def _own_folder(spark: SparkSession, base: str, application: str) -> str:
+    """The application's folder; removed when the driver's Python ends in the usual way."""
+    path = f"{base}/sparkweft/{application}"
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+
+    def remove() -> None:
+        try:
+            p = jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(conf).delete(p, True)
+        except Exception:  # the JVM is gone: the files stay, as after a crash
+            pass
+
+    atexit.register(remove)
+    return path
+
+
 def staging_dir(spark: SparkSession, name: str) -> str:
     """A new folder for intermediate tables."""
-    return f"{shared_dir(spark)}/sparkweft/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    return f"{_own_folder(spark, shared_dir(spark), spark.sparkContext.applicationId)}/{name}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, path: str) -> DataFrame:
