@@ -97,7 +97,7 @@ class CorpusSource:
 
     def fetch(self, requests: DataFrame) -> DataFrame:
         # only the addresses that are asked for are made unique, not the whole corpus
-        asked = self.recorded.join(requests.select("url").distinct(), "url", "left_semi")
+        asked = self.recorded.join(requests.select("url"), "url", "left_semi")
         one = (asked if self.unique else self._one_each(asked)).select("url", *RESPONSE, F.lit(True).alias("_hit"))
         found = requests.join(one, "url", "left")
         status, body = self.default
