@@ -24,7 +24,7 @@ The join links documents whose sets have a Jaccard similarity of at least
 proportion to the rows of buckets: members of a large bucket are first compared
 with its smallest class alone, and then with those that this left in other groups.
 
-Steps 2 and 3 move 8 bytes a band, about 130 bytes for each class of a bucket that has
+Steps 2 and 3 move 8 bytes a band, about 150 bytes for each class of a bucket that has
 more than one, and never text; step 4 reads the texts of classes that have a candidate.
 """
 
@@ -43,11 +43,13 @@ from .text import chunks, mix64, minhash, shingle_hashes, word_hashes
 
 N = 3
 THRESHOLD = 0.5
-BANDS = 20
+#: 32 bands of 3 values meet 98.6 % of pairs at similarity 0.5 and 99.97 % at 0.6; at this tolerance
+#: pruning keeps 99.8 % of the former and all but a few in a hundred thousand of the latter.
+BANDS = 32
 ROWS = 3
 COMPARED = 64
 STEP = 16
-TOLERANCE = 0.01
+TOLERANCE = 0.001
 TILE_DOCS = 512
 PAIRS_AT_ONCE = 200_000
 #: Classes of a bucket that one task compares with each other; larger buckets are tiled.
