@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import json
+import os
 import sqlite3
+import subprocess
 import sys
 
 import pytest
@@ -270,3 +272,10 @@ def test_invalid_specs():
     for options in ({"css": "a", "colour": "x"}, {"attr": "href"}, {"css": "a", "transform": "rot13"}):
         with pytest.raises(ValueError):
             ExtractSpec.from_dict({"f": options})
+
+
+def test_public_names_are_there_and_lazy():
+    code = "import sys, sparkweft; assert not [m for m in sys.modules if m.startswith('sparkweft.')]; from sparkweft import *; print(Crawl.__name__, LinkExtractor.__name__)"
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    out = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True)
+    assert out.stdout.split() == ["Crawl", "LinkExtractor"], out.stderr
