@@ -131,11 +131,17 @@ def extract_spec_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return items.withColumn("charset", F.regexp_extract("charset", "^([a-z]+)", 1))
 
 
-@query()
+@query("""
+SELECT page_id, regexp_extract(html, '(?s)<div class="ad">.*?</div>') AS ad, regexp_extract(html, '(?s)<h1[^>]*>(.*?)</h1>', 1) AS inner_h1 FROM pages""")
 def css_outer_html(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Formatting elements as the tree has them, with what they hold (by a tree builder; SQL has none)."""
-    f = found(table(spark, sf_dir, "pages"), bold=Count("b"), ad=Css("div.ad", get="outer", first=True), inner=Css("article h1", get="inner", first=True))
-    return f.select("page_id", "bold", "ad", "inner")
+    f = found(table(spark, sf_dir, "pages"), ad=Css("div.ad", get="outer", first=True), inner=Css("article h1", get="inner", first=True))
+    return f.select("page_id", F.coalesce("ad", F.lit("")).alias("ad"), F.coalesce("inner", F.lit("")).alias("inner_h1"))
+
+
+@query()
+def css_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Elements that were left open, as a tree builder opens them anew in each block (SQL has none)."""
+    return found(table(spark, sf_dir, "pages"), bold=Count("b"))
 
 
 @query("""
