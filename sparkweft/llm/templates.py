@@ -30,6 +30,8 @@ LEADING = 2
 SIMILARITY = 0.7
 MIN_DOCS = 3
 VARIABLE = "<*>"
+#: Characters of different lines that a task holds before it passes them on.
+HELD_CHARS = 4 << 20
 
 _digit = re.compile(r"\d")
 
@@ -103,15 +105,26 @@ def _by_leaf(leading: int):
     schema = pa.schema([("leaf", pa.int64()), ("doc_id", pa.int64()), ("line", pa.int32()), *_KEYS, ("masked", pa.string())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first: dict[str, tuple] = {}  # of equal lines that a task meets the earliest is enough
+        held = 0
+
+        def out() -> Iterator[pa.RecordBatch]:
+            rows = [(_digest(leaf, b"leaf")[0], i, k, *_digest(m), m) for m, (i, k, leaf) in first.items()]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+
         for batch in batches:
-            first: dict[str, tuple] = {}  # of equal lines in the batch the earliest is enough
             for i, text in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
                 for k, leaf, m in _lines(text, leading):
-                    if m not in first or (i, k) < first[m][:2]:
+                    known = first.get(m)
+                    if known is None:
+                        held += len(m)
+                    if known is None or (i, k) < known[:2]:
                         first[m] = (i, k, leaf)
-            rows = [(_digest(leaf, b"leaf")[0], i, k, *_digest(m), m) for m, (i, k, leaf) in first.items()]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+                if held > HELD_CHARS:
+                    yield from out()
+                    first, held = {}, 0
+        yield from out()
 
     return run
 
