@@ -16,7 +16,7 @@ from pathlib import Path
 from typing import Protocol
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.items import field_text, has_field
@@ -191,7 +191,8 @@ class ObjectStore:
     """JSON Lines or a JSON array as an object under a Hadoop path (``s3a://``, ``gs://``, ``file://``).
 
     No items, no object.  Lines go into a folder of the object's name, a part a task;
-    an array is written by one task, which holds none of it.
+    an array is written by one task, which holds none of it.  Either has an item a line,
+    so that :meth:`read` spreads over tasks.
     """
 
     def __init__(self, root: str, prefix: str = "", kind: str = "jsonl", filename: str | None = None):
@@ -207,10 +208,21 @@ class ObjectStore:
     def write(self, items: DataFrame) -> None:
         if items.isEmpty():
             return
+        lines = items.select(F.translate("item", "\r\n", "  ").alias("item"))  # within JSON these are white space
         if self.kind == "jsonl":
-            items.select("item").write.mode("overwrite").text(self.path)
+            lines.write.mode("overwrite").text(self.path)
         else:
-            items.select("item").coalesce(1).mapInArrow(_as_array, "value string").write.mode("overwrite").text(self.path)
+            lines.coalesce(1).mapInArrow(_as_array, "value string").write.mode("overwrite").text(self.path)
+
+    def read(self, spark: SparkSession) -> DataFrame:
+        """The items of an object that :meth:`write` made, as they were given; none if there is no object."""
+        path = spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+            return spark.createDataFrame([], "item string")
+        lines = spark.read.text(self.path)
+        if self.kind == "json":  # an element is a line, after a bracket or a comma
+            lines = lines.where("value <> ']'").select(F.expr("substring(value, 2)").alias("value"))
+        return lines.select(F.col("value").alias("item"))
 
 
 def _as_array(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
