@@ -132,7 +132,7 @@ class CachingSource:
     """A cache table ahead of another source.
 
     The cache at ``path`` has (url, status, body, cached_at) and is appended to; of an
-    address the latest entry counts.  Hits have no headers and take no time.  Only text
+    address the latest entry counts, of several as late the first by status and body.  Hits have no headers and take no time.  Only text
     bodies are cached, by :meth:`remember`.
     """
 
@@ -145,7 +145,7 @@ class CachingSource:
             kept.limit(0).count()
         except AnalysisException:  # nothing was cached so far
             return None
-        latest = Window.partitionBy("url").orderBy(F.desc("cached_at"))
+        latest = Window.partitionBy("url").orderBy(F.desc("cached_at"), "status", "body")
         kept = kept.withColumn("_n", F.row_number().over(latest)).where("_n = 1").drop("_n")
         return kept.where(fresh(F.col("cached_at"), self._now(), self.ttl))
 
