@@ -8,8 +8,13 @@ source takes requests (``url`` and any other columns) and adds the columns of
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterable, Iterator
+from fnmatch import fnmatchcase
 from typing import Protocol
 
+import pyarrow as pa
+from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -52,9 +57,73 @@ def responses(
     )
 
 
+def _system(path: str) -> tuple[fs.FileSystem, str]:
+    if path.startswith("file:"):  # Hadoop's paths have no escapes, as URIs do
+        return fs.LocalFileSystem(), "/" + path[5:].lstrip("/")
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+
+
+def write_files(pages: DataFrame, folder: str, name: str = "page_id", body: str = "html", per_folder: int = 1000) -> None:
+    """Writes each row as a file ``<folder>/<n>/<name>=<value>.txt`` of its text and a line break; folders ``n`` have about ``per_folder`` files.
+
+    ``folder`` is shared by all executors, in a file system that Arrow knows.  A file is
+    written under another name and then renamed, so tasks that run again or twice leave
+    whole files.
+    """
+    folders = max(1, -(-pages.count() // per_folder))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, root = _system(folder)
+        made = set()
+        for b in batches:
+            for n, value, text in zip(*(c.to_pylist() for c in b.columns)):
+                if n not in made:
+                    system.create_dir(f"{root}/{n}", recursive=True)
+                    made.add(n)
+                part = f"{root}/{n}/.{value}.{TaskContext.get().taskAttemptId()}"
+                with system.open_output_stream(part) as out:
+                    out.write((text or "").encode() + b"\n")
+                system.move(part, f"{root}/{n}/{name}={value}.txt")
+        yield pa.RecordBatch.from_pydict({"n": pa.array([], pa.int64())})
+
+    at = F.pmod(F.xxhash64(name), F.lit(folders))
+    pages.select(at.alias("n"), F.col(name).cast("string"), body).mapInArrow(run, "n bigint").write.format("noop").mode("overwrite").save()
+
+
 def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """Local HTML files as recorded pages: ``url`` is the path, the status 200."""
-    files = spark.read.format("binaryFile").load(path)
+    """Local HTML files as recorded pages: ``url`` is the path, the status 200.
+
+    ``path`` is a pattern such as ``folder/*/*.txt``.  Only folders are listed by the
+    driver; their files are listed and read by tasks, which hold a few MB of them.
+    """
+    folders, _, names = path.rpartition("/")
+    at = spark._jvm.org.apache.hadoop.fs.Path(folders)
+    found = at.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(at) or []
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def listed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for folder in b.column(0).to_pylist():
+                system, inner = _system(folder)
+                files = (f for f in system.get_file_info(fs.FileSelector(inner)) if f.is_file and not f.base_name.startswith((".", "_")))
+                yield pa.RecordBatch.from_pydict({"path": pa.array([f"{folder}/{f.base_name}" for f in files if fnmatchcase(f.base_name, names)], pa.string())})
+
+    def contents(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            paths, bodies, size = [], [], 0
+            for p in b.column(0).to_pylist():
+                system, inner = _system(p)
+                with system.open_input_stream(inner, compression=None) as f:
+                    bodies.append(f.read())
+                paths.append(p)
+                size += len(bodies[-1])
+                if size > 1 << 23:
+                    yield pa.RecordBatch.from_pydict({"path": pa.array(paths, pa.string()), "content": pa.array(bodies, pa.binary())})
+                    paths, bodies, size = [], [], 0
+            yield pa.RecordBatch.from_pydict({"path": pa.array(paths, pa.string()), "content": pa.array(bodies, pa.binary())})
+
+    roots = spark.createDataFrame([(s.getPath().toString(),) for s in found if s.isDirectory()], "folder string").repartition(n)
+    files = roots.mapInArrow(listed, "path string").repartition(n).mapInArrow(contents, "path string, content binary")
     return responses(files.select(F.col("path").alias("url"), F.decode("content", "UTF-8").alias("html")))
 
 
